@@ -1,0 +1,68 @@
+"""Run registered queries and their SQL twins side by side: python -m tests.check_oracles [sf_dir] [name ...]"""
+
+import sys
+import time
+
+import duckdb
+
+import __spark_entry__ as E
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def connect(sf_dir: str):
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return con
+
+
+def canonical(rows, columns):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(repr(tuple(row[i] for i in order)) for row in rows)
+
+
+def compare(spark, con, sf_dir: str, name: str):
+    """(matches or None without SQL, rows, seconds in Spark, seconds in DuckDB, first difference)"""
+    start = time.time()
+    df = E.queries()[name](spark, sf_dir)
+    rows = [tuple(r) for r in df.collect()]
+    spark_seconds = time.time() - start
+    sql = E.oracle_sql().get(name)
+    if sql is None:
+        return None, len(rows), spark_seconds, 0.0, ""
+    start = time.time()
+    cursor = con.execute(sql)
+    names = [d[0] for d in cursor.description]
+    expected = cursor.fetchall()
+    sql_seconds = time.time() - start
+    if sorted(names) != sorted(df.columns):
+        return False, len(rows), spark_seconds, sql_seconds, f"columns {sorted(df.columns)} / {sorted(names)}"
+    a, b = canonical(rows, df.columns), canonical(expected, names)
+    detail = ""
+    if a != b:
+        extra, missing = sorted(set(a) - set(b))[:2], sorted(set(b) - set(a))[:2]
+        detail = f"spark {len(a)} sql {len(b)} rows; only spark: {extra}; only sql: {missing}"[:700]
+    return a == b, len(rows), spark_seconds, sql_seconds, detail
+
+
+def main():
+    from tests.conftest import build_session
+    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    names = sys.argv[2:] or list(E.queries())
+    spark = build_session()
+    con = connect(sf_dir)
+    bad = []
+    for name in names:
+        try:
+            ok, n, t1, t2, detail = compare(spark, con, sf_dir, name)
+        except Exception as e:  # report and go on with the others
+            ok, n, t1, t2, detail = False, -1, 0, 0, f"{type(e).__name__}: {str(e)[:600]}"
+        if ok is False or n == 0:
+            bad.append(name)
+        print(f"{'rows' if ok is None else 'ok' if ok else 'FAIL':5}{name:28}{n:8} rows {t1:7.2f}s spark {t2:7.2f}s sql {detail}", flush=True)
+    print("bad:", bad)
+
+
+if __name__ == "__main__":
+    main()
