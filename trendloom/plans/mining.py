@@ -22,9 +22,9 @@ EDGES = f"""{I.TOKENS},
 sizes AS (SELECT post_id, count(*) AS n FROM tokens GROUP BY 1),
 common AS (SELECT a.post_id AS l, b.post_id AS r, count(*) AS c FROM tokens a JOIN tokens b USING (token)
            WHERE a.post_id <> b.post_id GROUP BY ALL),
-similar AS (SELECT l, r, c / (x.n + y.n - c) AS jaccard FROM common JOIN sizes x ON x.post_id = l JOIN sizes y ON y.post_id = r
+alike AS (SELECT l, r, c / (x.n + y.n - c) AS jaccard FROM common JOIN sizes x ON x.post_id = l JOIN sizes y ON y.post_id = r
             WHERE 100 * c >= 55 * (x.n + y.n - c)),
-edges AS (SELECT l, r FROM similar JOIN posts p ON p.post_id = l JOIN posts q ON q.post_id = r
+edges AS (SELECT l, r FROM alike JOIN posts p ON p.post_id = l JOIN posts q ON q.post_id = r
           WHERE (q.created_at, r) < (p.created_at, l)),
 arrivals AS (SELECT post_id AS id, created_at FROM posts)"""
 KEPT = f"{EDGES}, {I.greedy_sql('edges', 'arrivals')}"
@@ -79,7 +79,7 @@ def drop_near_dups(spark, sf):
 
 
 @REG.query("jaccard_pairs", f"""WITH RECURSIVE {I.POSTS}, {KEPT}
-SELECT l AS post_id, r AS kept_id, round(jaccard, 6) AS jaccard FROM similar WHERE r NOT IN (FROM dropped)""")
+SELECT l AS post_id, r AS kept_id, round(jaccard, 6) AS jaccard FROM alike WHERE r NOT IN (FROM dropped)""")
 def jaccard_pairs(spark, sf):
     """Each post with the kept posts it resembles."""
     p = I.posts(spark, sf)
@@ -101,7 +101,7 @@ def hashed_unit_vectors_ml(spark, sf):
 
 _CENTERS = """centers AS (SELECT p.cluster_id, v.term, sum(v.w) AS weight FROM vec v JOIN posts p USING (post_id) GROUP BY ALL),
 lengths AS (SELECT cluster_id, sqrt(sum(weight * weight)) AS length FROM centers GROUP BY 1),
-dist AS (SELECT v.post_id, c.cluster_id, round(1 - sum(v.w * c.weight / l.length), 9) AS distance
+dist AS (SELECT v.post_id, c.cluster_id, round(1 - sum(v.w * c.weight / l.length), 9) + 0.0 AS distance
          FROM vec v JOIN centers c USING (term) JOIN lengths l ON l.cluster_id = c.cluster_id GROUP BY ALL)"""
 
 
@@ -115,7 +115,7 @@ def assign_nearest(spark, sf):
     rows = vectors.vectors(p, ("cluster_id", "post_id", "lang"))
     centers = rows.groupBy("cluster_id", "term").agg(F.sum("w").alias("weight"))
     english = filters.lang_gate(rows, "en").select("term", "w", F.col("post_id").alias("id"))
-    found = vectors.assign(vectors.scoped(english), vectors.scoped(centers)).select(F.col("id").alias("post_id"), "cluster_id", "distance")
+    found = vectors.assign_all(vectors.scoped(english), vectors.scoped(centers)).select(F.col("id").alias("post_id"), "cluster_id", "distance")
     posts = filters.lang_gate(p, "en").select("post_id")
     return posts.join(found, "post_id", "left").select("post_id", "cluster_id", F.round("distance", 4).alias("distance"))
 
@@ -135,7 +135,7 @@ def nearest_centroid_join(spark, sf):
     rows = vectors.dense_rows(e, "vec_id", "embedding")
     labelled = rows.join(e.select("vec_id", "label"), "vec_id")
     centers = labelled.groupBy(F.col("label").alias("cluster_id"), "term").agg(F.avg("w").alias("weight"))
-    found = vectors.assign(vectors.scoped(rows.withColumnRenamed("vec_id", "id")), vectors.scoped(centers), max_distance=2.5)
+    found = vectors.assign_all(vectors.scoped(rows.withColumnRenamed("vec_id", "id")), vectors.scoped(centers), max_distance=2.5)
     return found.select(F.col("id").alias("vec_id"), F.col("cluster_id").alias("nearest_label"), F.round("distance", 4).alias("distance"))
 
 
@@ -143,7 +143,7 @@ _ENGLISH = "english AS (SELECT post_id, full_text, created_at, time_bucket(INTER
 
 
 @REG.query("open_clusters", f"""WITH RECURSIVE {I.POSTS}, {_ENGLISH}, {I.vectors_sql('english', L.ENGLISH_STOP_WORDS)},
-near AS (SELECT a.post_id AS l, b.post_id AS r, round(1 - sum(a.w * b.w), 9) AS distance
+near AS (SELECT a.post_id AS l, b.post_id AS r, round(1 - sum(a.w * b.w), 9) + 0.0 AS distance
          FROM vec a JOIN vec b USING (term) WHERE a.post_id <> b.post_id GROUP BY ALL HAVING round(1 - sum(a.w * b.w), 9) < 0.6),
 edges AS (SELECT l, r, distance FROM near JOIN english p ON p.post_id = l JOIN english q ON q.post_id = r
           WHERE (q.created_at, r) < (p.created_at, l)),
@@ -151,14 +151,14 @@ arrivals AS (SELECT post_id AS id, created_at FROM english),
 {I.greedy_sql('edges', 'arrivals')},
 joined AS (SELECT l, r, distance FROM edges JOIN english q ON q.post_id = r WHERE l IN (FROM dropped) AND r NOT IN (FROM dropped)
            QUALIFY row_number() OVER (PARTITION BY l ORDER BY distance, q.created_at, r) = 1)
-SELECT a.id AS post_id, coalesce(j.r, a.id) AS leader, round(coalesce(j.distance, 0), 4) AS distance
+SELECT a.id AS post_id, coalesce(j.r, a.id) AS leader, round(coalesce(j.distance, 0), 4) + 0.0 AS distance
 FROM arrivals a LEFT JOIN joined j ON j.l = a.id""")
 def open_clusters(spark, sf):
     """All English posts as one batch of unmatched posts."""
     p = filters.lang_gate(I.posts(spark, sf), "en").select("post_id", "created_at", "preprocessed_text")
     ordered = neardup.with_rank(vectors.scoped(p), ["created_at", "post_id"], "id")
-    rows = written(vectors.vectors(ordered, ("scope", "id")).drop("tf"), "vectors")
-    opened = clustering.open_clusters(ordered.select("scope", "id"), rows)
+    index, _ = clustering.index_vectors(vectors.vectors(ordered, ("scope", "id")).drop("tf"))
+    opened, _ = clustering.open_clusters(ordered.select("scope", "id"), index)
     names = ordered.select("id", "post_id")
     return (opened.join(names, "id").join(names.select(F.col("id").alias("leader"), F.col("post_id").alias("_l")), "leader")
             .select("post_id", F.col("_l").alias("leader"), F.round("distance", 4).alias("distance")))
