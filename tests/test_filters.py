@@ -1,0 +1,45 @@
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from trendloom.operators import filters
+from trendloom.schema import POST
+
+T0 = datetime(2024, 1, 1, 12)
+
+
+def original(post_id, lang="en"):
+    return (post_id, f"text {post_id}", f"text {post_id}", lang, T0)
+
+
+def event(post_id, text="plain text", quote=False, retweeted=None, quoted=None):
+    return (post_id, text, text, "en", T0, quote, retweeted, quoted, None)
+
+
+def test_expand_cases(spark):
+    events = spark.createDataFrame([
+        event("1"), event("2", "RT @x hello", retweeted=original("5")), event("3", "RT @x", retweeted=original("9")),
+        event("4", "RT @x"), event("6", quote=True, quoted=original("7")), event("8", quote=True, quoted=original("9")),
+        event("10", quote=True, quoted=original("11", "de")), event("12", "RT @x", retweeted=original("13", "de")),
+        event("14", "RT @x", quote=True)], POST)
+    seen = spark.createDataFrame([("9",)], "post_id string")
+    rows = filters.expand(events, "en", seen).orderBy(F.col("event_id").cast("int"), "pos").collect()
+    assert [(r.event_id, r.post_id) for r in rows] == [("1", "1"), ("2", "5"), ("6", "7"), ("6", "6"), ("8", "8"), ("10", "10")]
+
+
+def test_expand_keeps_own_id_even_if_held(spark):
+    seen = spark.createDataFrame([("1",)], "post_id string")
+    assert filters.expand(spark.createDataFrame([event("1")], POST), "en", seen).count() == 1
+
+
+def test_recent_window_is_strict(spark):
+    df = spark.createDataFrame([(1, datetime(2024, 1, 1, 11, 30, 0)), (2, datetime(2024, 1, 1, 11, 30, 1)),
+                                (3, datetime(2024, 1, 1, 11, 29, 59))], "post_id int, created_at timestamp")
+    assert [r.post_id for r in filters.recent(df, F.lit(T0), 30).collect()] == [2]
+
+
+def test_track_skip_and_valid(spark):
+    df = spark.createDataFrame([("1", "Hi @United"), ("2", "hello"), ("3", None)], "post_id string, text string")
+    assert [r.post_id for r in filters.track(df, ["@united"]).collect()] == ["1"]
+    assert [r.post_id for r in filters.skip_seen(df, df.filter("post_id = '1'")).orderBy("post_id").collect()] == ["2", "3"]
+    assert filters.valid(df, "post_id", "text").count() == 2

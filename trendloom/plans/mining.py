@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from trendloom.functions import language, lexicon as L, minhash as M
-from trendloom.operators import clustering, filters, neardup, retention, summary, vectors
+from trendloom.operators import clustering, filters, neardup, retention, summary, trends, vectors
 from trendloom.plans import inputs as I
 from trendloom.plans.registry import Registry
 from trendloom.session import written
@@ -196,8 +196,9 @@ sentences AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY cluster_id, cre
 totals AS MATERIALIZED (SELECT cluster_id, count(*) AS total FROM sentences GROUP BY 1),
 raw AS (SELECT cluster_id, sid, unnest(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM sentences),
 tf AS (SELECT cluster_id, sid, term, count(*) AS tf FROM raw WHERE term NOT IN ({stops}) GROUP BY ALL),
+unit AS (SELECT cluster_id, sid, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY sid)) AS w FROM tf),
 df AS (SELECT cluster_id, term, count(*) AS df FROM tf GROUP BY ALL),
-a AS MATERIALIZED (SELECT cluster_id, sid, term, tf * ln(total / df) AS a FROM tf JOIN df USING (cluster_id, term) JOIN totals USING (cluster_id)
+a AS MATERIALIZED (SELECT cluster_id, sid, term, w * ln(total / df) AS a FROM unit JOIN df USING (cluster_id, term) JOIN totals USING (cluster_id)
       WHERE df > 1 AND df < total),
 col AS (SELECT cluster_id, term, sum(a) AS s FROM a GROUP BY ALL),
 ties AS (SELECT sid, sum(a.a * col.s) - sum(a.a * a.a) AS degree, sum(a.a * a.a) AS own FROM a JOIN col USING (cluster_id, term) GROUP BY 1),
@@ -208,13 +209,16 @@ ranked AS (SELECT s.cluster_id, s.sid, s.sentence, s.words,
                   row_number() OVER (PARTITION BY s.cluster_id ORDER BY round(r.score, 6) DESC, s.sid) AS k
            FROM sentences s JOIN score{rounds} r USING (sid)),
 summed AS (SELECT *, sum(words) OVER (PARTITION BY cluster_id ORDER BY k) AS total FROM ranked)
-SELECT cluster_id, string_agg(sentence, ' ' ORDER BY sid) AS summary FROM summed
-WHERE abs(total - 25) <= abs(total - words - 25) GROUP BY cluster_id"""
+SELECT c.cluster_id, coalesce(s.summary, '') AS summary FROM (SELECT DISTINCT cluster_id FROM posts) c LEFT JOIN (
+  SELECT cluster_id, string_agg(sentence, ' ' ORDER BY sid) AS summary FROM summed
+  WHERE abs(total - 25) <= abs(total - words - 25) GROUP BY cluster_id) s USING (cluster_id)"""
 
 
 @REG.query("cluster_summary", _summary_sql(20))
 def cluster_summary(spark, sf):
-    return summary.summarize(I.posts(spark, sf))
+    """A summary for every given cluster, empty where it has too few posts."""
+    p = I.posts(spark, sf)
+    return trends.with_summaries(I.clusters(p), summary.summarize(p)).select("cluster_id", "summary")
 
 
 @REG.query("detect_language")
