@@ -1,0 +1,46 @@
+import random
+from datetime import datetime, timedelta
+
+import pytest
+
+from tests.models import sentence_scores
+from trendloom.operators import summary as S
+
+T0 = datetime(2024, 1, 1)
+WORDS = "flight delay bag lost crew seat gate meal late refund".split()
+
+
+def posts(spark, by_cluster):
+    rows, n = [], 0
+    for cluster, found in by_cluster.items():
+        for text in found:
+            rows.append((cluster, n, T0 + timedelta(seconds=n), text))
+            n += 1
+    return spark.createDataFrame(rows, "cluster_id int, post_id long, created_at timestamp, preprocessed_text string")
+
+
+@pytest.mark.parametrize("salt_size", [100_000, 2])
+def test_scores_equal_pagerank_over_pairs(spark, monkeypatch, salt_size):
+    monkeypatch.setattr("trendloom.operators.salting.ROWS_PER_SALT", salt_size)
+    rng = random.Random(5)
+    groups = {c: [" ".join(rng.choices(WORDS, k=rng.randint(1, 5))) for _ in range(n)] for c, n in ((1, 12), (2, 7))}
+    groups[1] += ["only here", "the of and"]
+    sentences = S.sentence_rows(posts(spark, groups))
+    found = {c: [r.score for r in sorted(S.rank_sentences(sentences).filter(f"cluster_id = {c}").collect(), key=lambda r: r.sid)] for c in groups}
+    for c, texts in groups.items():
+        assert found[c] == pytest.approx(sentence_scores(texts), abs=2e-6)
+
+
+def test_only_big_clusters_and_about_the_wanted_length(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices(WORDS, k=6)) + ". " + " ".join(rng.choices(WORDS, k=5)) for _ in range(21)]
+    rows = S.summarize(posts(spark, {1: texts, 2: texts[:20]})).collect()
+    assert [r.cluster_id for r in rows] == [1]
+    assert 22 <= len(rows[0].summary.split()) <= 28
+    spoken = [s.strip() for t in texts for s in (t.split(". ")[0] + ".", t.split(". ")[1])]
+    at = [spoken.index(s) for s in spoken if s in rows[0].summary]
+    assert at == sorted(at)
+
+
+def test_nothing_big_enough(spark):
+    assert S.summarize(posts(spark, {1: ["a b c"]})).collect() == []
