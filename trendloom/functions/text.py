@@ -9,11 +9,15 @@ from pyspark.sql.types import StringType
 from trendloom.functions import lexicon as L
 
 
-# --- entity removal (literal replacement, in entity order) ---
+# --- entity removal (literal replacement, in entity order); each step reads the text once ---
+
+def _values(items: Column, field: str) -> Column:
+    values = F.filter(F.transform(items, lambda e: e[field]), lambda v: v.isNotNull())
+    return F.coalesce(values, F.array().cast("array<string>"))
+
 
 def _remove_each(text: Column, items: Column, field: str, prefix: str = "") -> Column:
-    needles = F.transform(F.filter(items, lambda e: e[field].isNotNull()), lambda e: F.concat(F.lit(prefix), e[field]))
-    return F.coalesce(F.aggregate(needles, text, lambda t, n: F.replace(t, n, F.lit(""))), text)
+    return F.aggregate(_values(items, field), text, lambda t, v: F.replace(t, F.concat(F.lit(prefix), v), F.lit("")))
 
 
 def strip_cashtags(text: Column, symbols: Column) -> Column:
@@ -22,17 +26,16 @@ def strip_cashtags(text: Column, symbols: Column) -> Column:
 
 def strip_mentions(text: Column, mentions: Column, keep_handles=()) -> Column:
     """Remove ``@name`` for every mention; a kept handle loses only its ``@`` (case-sensitive)."""
-    names = F.filter(F.transform(mentions, lambda m: m["screen_name"]), lambda n: n.isNotNull())
-
     def step(t, name):
         replacement = F.when(name.isin(*keep_handles), name).otherwise(F.lit("")) if keep_handles else F.lit("")
         return F.replace(t, F.concat(F.lit("@"), name), replacement)
 
-    return F.coalesce(F.aggregate(names, text, step), text)
+    return F.aggregate(_values(mentions, "screen_name"), text, step)
 
 
 def strip_hash_signs(text: Column, hashtags: Column) -> Column:
-    return F.when(F.size(hashtags) > 0, F.replace(text, F.lit("#"), F.lit(""))).otherwise(text)
+    """Without hashtags the sought text is empty, which replaces nothing."""
+    return F.replace(text, F.when(F.size(hashtags) > 0, F.lit("#")).otherwise(F.lit("")), F.lit(""))
 
 
 def strip_urls(text: Column, urls: Column) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F, types as T
 
 from trendloom.functions import lexicon as L, text as X
 from trendloom.operators import filters, trends
+from trendloom.operators.cleaning import clean_posts
 from trendloom.plans import inputs as I
 from trendloom.plans.registry import Registry
 from trendloom.sources import posts as S
@@ -61,8 +62,7 @@ _step("social_clean", social_clean_sql("{t}"), lambda t, e: X.social_clean(t))
 @REG.query("clean_post", f"WITH {I.MARKED} SELECT post_id, t AS clean FROM ({CLEAN_MARKED}) "
                          r"WHERE len(regexp_extract_all(t, '\S+')) > 3")
 def clean_post(spark, sf):
-    cleaned = I.marked(spark, sf).select("post_id", X.clean_text(F.col("full_text"), F.col("entities"), KEEP).alias("clean"))
-    return filters.min_words(cleaned, 3, "clean")
+    return clean_posts(I.marked(spark, sf), KEEP, 3, out="clean").select("post_id", "clean")
 
 
 @REG.query("html_unescape", f"SELECT page_id, {_UNESCAPE.replace('{t}', 'html')} AS text FROM pages")
