@@ -26,7 +26,7 @@ def test_scores_equal_pagerank_over_pairs(spark, monkeypatch, salt_size):
     groups = {c: [" ".join(rng.choices(WORDS, k=rng.randint(1, 5))) for _ in range(n)] for c, n in ((1, 12), (2, 7))}
     groups[1] += ["only here", "the of and"]
     sentences = S.sentence_rows(posts(spark, groups))
-    found = {c: [r.score for r in sorted(S.rank_sentences(sentences).filter(f"cluster_id = {c}").collect(), key=lambda r: r.sid)] for c in groups}
+    found = {c: [r.score for r in sorted(S.rank_sentences(sentences).filter(f"cluster_id = {c}").collect(), key=lambda r: (r.post_id, r.pos))] for c in groups}
     for c, texts in groups.items():
         assert found[c] == pytest.approx(sentence_scores(texts), abs=2e-6)
 
