@@ -14,14 +14,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``; a local session may fall back to a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="trendloom-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="trendloom-"))
+    return context.getCheckpointDir()
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
@@ -42,3 +42,14 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None, sp
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized_session(spark: SparkSession, rows: int, rows_per_partition: int) -> SparkSession:
+    """A sibling session whose shuffles have as many partitions as ``rows`` call for.
+
+    For iterative jobs that join shuffle results with tables they keep in place: there the partition count is fixed
+    by those tables, so adaptive execution cannot fit it to the data.
+    """
+    sibling = spark.newSession()
+    sibling.conf.set("spark.sql.shuffle.partitions", str(max(1, -(-rows // rows_per_partition))))
+    return prepare(sibling)
