@@ -105,6 +105,10 @@ def test_late_rows_are_put_aside(spark, places):
     job = run(spark, folder, base)
     assert set(stored(job)) == {"1", "3"}
     assert [r.post_id for r in spark.read.parquet(f"{base}/late").collect()] == ["2"]
+    add(spark, folder, [record(4, "nothing but late posts in this one", T0 - timedelta(minutes=30))])
+    job = run(spark, folder, base)
+    assert set(stored(job)) == {"1", "3"}
+    assert sorted(r.post_id for r in spark.read.parquet(f"{base}/late").collect()) == ["2", "4"]
 
 
 def test_inactive_clusters_retire_and_give_up_their_posts(spark, places):

@@ -38,32 +38,35 @@ def minhash_signature(spark, sf):
 
 
 def _halves(spark, sf):
-    """(later posts, earlier posts), cut in the middle of the time span."""
+    """(later posts, kept earlier posts), cut in the middle of the time span. The stored side holds no near-duplicates,
+    as in the ingest, so a bucket with many new copies meets few stored posts."""
     p = I.posts(spark, sf)
     seconds = F.unix_micros(F.col("created_at").cast("timestamp"))
     middle = p.select((F.min(seconds) + F.max(seconds)) / 2).scalar()
-    return p.filter(seconds > middle), p.filter(seconds <= middle)
+    kept = neardup.drop_near_dups(p.filter(seconds <= middle))
+    return p.filter(seconds > middle), written(kept.select("post_id", "preprocessed_text"), "kept-posts")
 
 
-_CANDIDATES = f"""{SIGNATURES},
+_CANDIDATES = f"""{KEPT}, {SIGNATURES.removeprefix(I.TOKENS).lstrip(", ")},
 bands AS (SELECT post_id, i // {NUM_PERM // BANDS} AS band, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY i) AS bucket FROM sig GROUP BY ALL),
 late AS (SELECT post_id, epoch_us(created_at) > (SELECT (min(epoch_us(created_at)) + max(epoch_us(created_at))) / 2 FROM posts) AS late FROM posts),
 met AS (SELECT DISTINCT a.post_id, b.post_id AS candidate_id FROM bands a JOIN bands b USING (band, bucket)
-        JOIN late x ON x.post_id = a.post_id AND x.late JOIN late y ON y.post_id = b.post_id AND NOT y.late),
+        JOIN late x ON x.post_id = a.post_id AND x.late JOIN late y ON y.post_id = b.post_id AND NOT y.late
+        WHERE b.post_id NOT IN (FROM dropped)),
 scored AS (SELECT m.post_id, m.candidate_id, count(*) FILTER (a.v = b.v) AS equal
            FROM met m JOIN sig a ON a.post_id = m.post_id JOIN sig b ON b.post_id = m.candidate_id AND b.i = a.i GROUP BY ALL),
 best AS (SELECT post_id, candidate_id, equal / {NUM_PERM}.0 AS estimate FROM scored
          QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY equal DESC, candidate_id) = 1)"""
 
 
-@REG.query("near_dup_candidates", f"WITH {I.POSTS}, {_CANDIDATES} SELECT post_id, candidate_id, estimate::DOUBLE AS estimate FROM best")
+@REG.query("near_dup_candidates", f"WITH RECURSIVE {I.POSTS}, {_CANDIDATES} SELECT post_id, candidate_id, estimate::DOUBLE AS estimate FROM best")
 def near_dup_candidates(spark, sf):
-    """Most similar post of the first half of the time span for each post of the second."""
+    """Most similar kept post of the first half of the time span for each post of the second."""
     later, earlier = _halves(spark, sf)
     return neardup.candidates(later, earlier, NUM_PERM, BANDS)
 
 
-@REG.query("dup_candidate_lookup", f"""WITH {I.POSTS}, {_CANDIDATES}
+@REG.query("dup_candidate_lookup", f"""WITH RECURSIVE {I.POSTS}, {_CANDIDATES}
 SELECT b.post_id, b.candidate_id, t.tokens FROM best b JOIN (
   SELECT post_id, string_agg(token, ' ' ORDER BY token) AS tokens FROM tokens GROUP BY 1) t ON t.post_id = b.candidate_id""")
 def dup_candidate_lookup(spark, sf):
