@@ -1,8 +1,9 @@
 """The operators over the given tables, next to the SQL that must give the same rows where SQL can express them."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from trendloom.llm import fingerprint, linededup, mixing
+from trendloom.llm import bpe, fingerprint, linededup, mixing
 from trendloom.llm.common import documents
 from trendloom.plans.registry import Registry
 
@@ -94,3 +95,11 @@ FROM c JOIN w ON c.source IS NOT DISTINCT FROM w.source
 def op10_source_mixing(spark, sf_dir):
     """Sources at weights 5, 2, 1, at 150 % of all words and two epochs at most."""
     return mixing.plan_mix(documents(spark, sf_dir))
+
+
+@REG.query("op7_bpe")
+def op7_bpe(spark, sf_dir):
+    """Every text to ids and back."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    both = bpe.bpe_decode(bpe.bpe_encode(documents(spark, sf_dir), path), path)
+    return bpe.digests(both)
