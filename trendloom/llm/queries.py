@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from trendloom.llm import bpe, fingerprint, linededup, mixing
+from trendloom.llm import bpe, fingerprint, idfiles, linededup, mixing
 from trendloom.llm.common import documents
 from trendloom.plans.registry import Registry
 
@@ -103,3 +103,9 @@ def op7_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     both = bpe.bpe_decode(bpe.bpe_encode(documents(spark, sf_dir), path), path)
     return bpe.digests(both)
+
+
+@REG.query("op9_id_files")
+def op9_id_files(spark, sf_dir):
+    """Ids of every text in files of frequency ranks, as they are read back."""
+    return idfiles.id_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50_257)
