@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from trendloom.llm import bpe, fingerprint, idfiles, linededup, mixing
+from trendloom.llm import bpe, divergence, fingerprint, idfiles, linededup, mixing
 from trendloom.llm.common import documents
 from trendloom.plans.registry import Registry
 
@@ -109,3 +109,9 @@ def op7_bpe(spark, sf_dir):
 def op9_id_files(spark, sf_dir):
     """Ids of every text in files of frequency ranks, as they are read back."""
     return idfiles.id_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50_257)
+
+
+@REG.query("op5_distribution_divergence")
+def op5_distribution_divergence(spark, sf_dir):
+    """Base rules of every text, and its distance from its language's characters and common words."""
+    return divergence.quality_rules(documents(spark, sf_dir))
