@@ -14,6 +14,7 @@ from trendloom.llm.common import id_key, text_of
 
 LEAF_CHARS = 64
 NODE_DIGITS = 10
+PARTS = 8
 #: After punctuation with the blanks that follow it, or after so many code points without.
 _LEAF = r"(?s)[^.!?;:,]{1,%d}+(?:[.!?;:,]++[\x20\x09]*+)?|[.!?;:,]++[\x20\x09]*+" % LEAF_CHARS
 
@@ -90,10 +91,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """``docs`` in parts by id range with a guest row, the first of the following part, at the end of each.
 
     The text that follows is then the next row of the same part; the last part's guest is the first document of all. One
-    shuffle of the texts; the parts are as many as the session's shuffle partitions.
+    shuffle of the texts; there are ``PARTS`` parts for each shuffle partition, so that tasks come out even.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), id_key(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    bounds = _bounds(rows, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = _bounds(rows, PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = Window.partitionBy("_part").orderBy("_guest", "_id", "_text")
     if not bounds:
         return rows.withColumn("_part", F.lit(0)).withColumn("_guest", F.lit(False)), order

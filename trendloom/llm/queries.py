@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from trendloom.llm import bpe, divergence, fingerprint, idfiles, linededup, mixing
+from trendloom.llm import bpe, divergence, fingerprint, idfiles, linededup, mixing, pii
 from trendloom.llm.common import documents
 from trendloom.plans.registry import Registry
 
@@ -115,3 +115,9 @@ def op9_id_files(spark, sf_dir):
 def op5_distribution_divergence(spark, sf_dir):
     """Base rules of every text, and its distance from its language's characters and common words."""
     return divergence.quality_rules(documents(spark, sf_dir))
+
+
+@REG.query("op8_pii")
+def op8_pii(spark, sf_dir):
+    """Personal data in every text: the base rules' spans and those the trees add."""
+    return pii.digests(pii.pii_spans(documents(spark, sf_dir)))
