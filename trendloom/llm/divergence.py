@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from trendloom.llm.common import BLANKS, text_of
+from trendloom.session import written
 
 #: What counts as a symbol in ``n_symbols``.
 SYMBOLS = "#*$%&|<>"
@@ -91,6 +92,10 @@ def references(docs: DataFrame, common: int = 50, text_col: str = "text", lang_c
         def rows(words, classes):
             found = [(lang, w, None, n) for (lang, w), n in words.items()]
             found += [(lang, None, k, int(n)) for lang, c in classes.items() for k, n in enumerate(c)]
+            totals = Counter()
+            for (lang, _), n in words.items():
+                totals[lang] += n
+            found += [(lang, None, -1, n) for lang, n in totals.items()]
             columns = list(zip(*found)) or [(), (), (), ()]
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], ["lang", "word", "class", "n"])
@@ -113,14 +118,21 @@ def references(docs: DataFrame, common: int = 50, text_col: str = "text", lang_c
 
     counted = (docs.select(F.col(lang_col).alias("lang"), text_of(text_col).alias("text")).mapInArrow(count, "lang string, word string, class int, n long")
                .groupBy("lang", "word", "class").agg(F.sum("n").alias("n")))
-    counted = counted.withColumn("_at", F.when(F.col("word").isNotNull(), F.row_number().over(
-        Window.partitionBy("lang", F.col("word").isNull()).orderBy(F.desc("n"), "word", "class"))))
-    top = F.when(F.col("_at") <= common, F.struct((-F.col("n")).alias("k"), "word"))
-    sums = counted.groupBy("lang").agg(F.sort_array(F.collect_list(top)).alias("top"),
-                                       F.sum(F.when(F.col("word").isNotNull(), F.col("n")).otherwise(0)).alias("n_words"),
-                                       F.sort_array(F.collect_list(F.when(F.col("word").isNull(), F.struct("class", "n")))).alias("classes"))
-    return sums.select("lang", F.transform("top", lambda x: x.word).alias("words"), F.transform("top", lambda x: -x.k).alias("word_counts"),
-                       "n_words", F.transform("classes", lambda x: x.n).alias("class_counts"))
+    counted = written(counted, "word-counts")
+    words = counted.where(F.col("word").isNotNull())
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = words.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= common)
+    top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("_at", "word", "n"))).alias("top"))
+    sums = counted.where(F.col("word").isNull()).groupBy("lang").agg(
+        F.sum(F.when(F.col("class") < 0, F.col("n")).otherwise(0)).alias("n_words"),
+        F.sort_array(F.collect_list(F.when(F.col("class") >= 0, F.struct("class", "n")))).alias("classes"))
+    top = top.withColumnRenamed("lang", "_lang")
+    both = sums.join(top, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    none = F.array().cast("array<struct<_at:int,word:string,n:bigint>>")
+    both = both.withColumn("top", F.coalesce("top", none))
+    # Written, so that Catalyst knows the size and broadcasts it only if it is small.
+    return written(both.select("lang", F.transform("top", lambda x: x.word).alias("words"), F.transform("top", lambda x: x.n).alias("word_counts"),
+                               "n_words", F.transform("classes", lambda x: x.n).alias("class_counts")), "references")
 
 
 def quality_rules(docs: DataFrame, max_class_distance: float = 0.28, max_word_distance: float = 0.45, min_chars: int = 250,
