@@ -30,7 +30,7 @@ class PieceCoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         plain, odd = {}, {}
         for i, text in enumerate(texts):
-            if _ODD.search(text) or (self._cut and self._cut.search(text)):
+            if any(s in text for s in self._specials) or _ODD.search(text):
                 odd[i] = [p for part in (self._cut.split(text) if self._cut else [text])
                           for p in ([part] if part in self._specials else _PIECE.findall(part))]
             else:  # every blank and line feed starts a piece; the first piece is given a line feed, taken off again
@@ -47,7 +47,7 @@ class PieceCoder:
         return out
 
     def _learn(self, known: dict, lists, whole: Callable[[str], str]) -> list[str]:
-        new = [p for p in set().union(*lists) if p not in known]
+        new = set().union(*lists).difference(known)
         extra = [p for p in new if len(p) > self._longest]
         extra += [p for p in new if len(p) <= self._longest][max(0, self._room - len(known)):]
         todo = [p for p in new if p not in self._specials]
