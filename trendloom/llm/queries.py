@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from trendloom.llm import bpe, divergence, fingerprint, idfiles, linededup, mixing, pii
-from trendloom.llm.common import documents
+from trendloom.llm import bpe, divergence, fingerprint, idfiles, linededup, mixing, perplexity, pii
+from trendloom.llm.common import documents, table
 from trendloom.plans.registry import Registry
 
 REG = Registry()
@@ -121,3 +121,9 @@ def op5_distribution_divergence(spark, sf_dir):
 def op8_pii(spark, sf_dir):
     """Personal data in every text: the base rules' spans and those the trees add."""
     return pii.digests(pii.pii_spans(documents(spark, sf_dir)))
+
+
+@REG.query("op4_quality_perplexity")
+def op4_quality_perplexity(spark, sf_dir):
+    """Every text's perplexity under the model of the trusted texts, against its language's threshold."""
+    return perplexity.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
