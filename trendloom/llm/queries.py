@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from trendloom.llm import bpe, divergence, fingerprint, idfiles, linededup, mixing, perplexity, pii
+import corpus_pipeline
+from trendloom.llm import bpe, divergence, fingerprint, forest, idfiles, linededup, mixing, perplexity, pii
 from trendloom.llm.common import documents, table
 from trendloom.plans.registry import Registry
 
@@ -127,3 +128,12 @@ def op8_pii(spark, sf_dir):
 def op4_quality_perplexity(spark, sf_dir):
     """Every text's perplexity under the model of the trusted texts, against its language's threshold."""
     return perplexity.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@REG.query("op3_jaccard_forest")
+def op3_jaccard_forest(spark, sf_dir):
+    """Classes of texts with five-word shingles in common to 0.8 or more, and each text's links."""
+    return forest.near_duplicates(documents(spark, sf_dir))
+
+
+REG.query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
