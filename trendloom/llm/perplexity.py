@@ -186,12 +186,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 4, id_col: st
     return blobs.groupBy("shard").cogroup(logs.groupBy("shard")).applyInPandas(score, "doc_id long, lang string, n_chars long, perplexity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.99, slack: float = 1.25, min_trusted: int = 20,
+def classify(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.99, slack: float = 1.25, min_trusted: int = 20, min_chars: int = 50,
              id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, lang, n_chars, perplexity, threshold, kept`` for each row of ``docs``.
 
     Trusted texts are all those labelled ``quality`` 1. A language's threshold is ``slack`` times the quantile of its trusted texts' perplexities; a
-    text above it is rejected. Languages (null is one) with fewer than ``min_trusted`` trusted texts have no threshold and keep all.
+    text of ``min_chars`` characters or more above it is rejected. Languages (null is one) with fewer than ``min_trusted`` trusted texts have no threshold and keep all.
     Null or empty texts have no perplexity and are kept. Null ids are never trusted; repeated rows are each judged, and a trusted one counts as
     often as it is there. Empty tables: no rows. Ids must be integers. Other columns are not used.
     """
@@ -202,4 +202,4 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float
     limits = own.where(F.col("_n") >= min_trusted).select(F.col("lang").alias("_lang"), (F.col("_q") * slack).alias("threshold"))
     limits = written(limits, "thresholds")  # one row a language; Catalyst knows the size
     judged = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
-    return judged.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+    return judged.withColumn("kept", F.coalesce((F.col("perplexity") <= F.col("threshold")) | (F.col("n_chars") < min_chars), F.lit(True)))
