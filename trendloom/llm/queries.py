@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trendloom.llm import bpe, divergence, fingerprint, forest, idfiles, linededup, mixing, perplexity, pii
+from trendloom.llm import bpe, divergence, fingerprint, forest, idfiles, linededup, mixing, perplexity, pii, toolcalls
 from trendloom.llm.common import documents, table
 from trendloom.plans.registry import Registry
 
@@ -137,3 +137,36 @@ def op3_jaccard_forest(spark, sf_dir):
 
 
 REG.query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+
+TOOL_CALLS_SQL = r"""
+WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, (conv_id + turn) % 8 AS w,
+                  conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT *, CASE WHEN w < 3 THEN 'search' WHEN w < 5 THEN 'translate' WHEN w < 7 THEN 'summarise' ELSE 'dance' END AS name,
+        CASE WHEN w < 3 THEN '{"limit":' || n || ',"query":' || to_json(text) || '}'
+             WHEN w < 5 THEN CASE WHEN n % 5 = 0 THEN '{"text":' || to_json(text) || '}' ELSE '{"target":"en","text":' || to_json(text) || '}' END
+             WHEN w < 7 THEN CASE WHEN n % 3 = 0 THEN '{"max_words":"' || n || '","text":' || to_json(text) || '}'
+                                  ELSE '{"deep":true,"max_words":' || n || ',"text":' || to_json(text) || '}' END ELSE '{}' END AS args,
+        CASE WHEN w < 3 THEN '' WHEN w < 5 THEN CASE WHEN n % 5 = 0 THEN 'missing:target' ELSE '' END
+             WHEN w < 7 THEN CASE WHEN n % 3 = 0 THEN 'type:max_words' ELSE 'extra:deep' END ELSE 'unknown_tool' END AS errors,
+        count(*) OVER (PARTITION BY call_id) AS n_calls, row_number() OVER (PARTITION BY call_id ORDER BY text) AS nth FROM u),
+one AS (SELECT * FROM c WHERE nth = 1),
+r AS (SELECT conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR AS call_id, min(text) AS content, count(*) AS n_results
+      FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1)
+SELECT one.conv_id, call_id, one.turn AS seq, name,
+  CASE WHEN n_calls IS NULL THEN 'orphan_result'
+       WHEN one.turn >= 2 AND conv_id::VARCHAR || ':' || (one.turn - 2)::VARCHAR NOT IN (SELECT o.call_id FROM one o) THEN 'missing_need'
+       WHEN n_results IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+  errors, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results, one.turn AS order_key,
+  CASE WHEN n_calls IS NOT NULL THEN 0 END AS order_depth,
+  '{"arguments":' || coalesce(args, 'null') || ',"call_id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null')
+    || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS canonical
+FROM one FULL JOIN r USING (call_id)
+"""
+
+
+@REG.query("op2_tool_calls", TOOL_CALLS_SQL)
+def op2_tool_calls(spark, sf_dir):
+    """All turns of all conversations read as tool calls and results: linked, ordered, checked and in canonical JSON."""
+    calls, results = toolcalls.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return toolcalls.link_calls(calls, results, toolcalls.TOOLS)
