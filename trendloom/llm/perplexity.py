@@ -1,9 +1,9 @@
 """Quality classifier: interpolated modified Kneser-Ney over characters, trained on trusted text.
 
 Texts travel packed, by shard. A shard hands on its distinct n-grams with their counts in trusted text; the
-counts are summed by n-gram over all shards, the model is built from them by grouped sums and joins on n-grams, contexts and suffixes,
-and each shard gets back the log-probabilities of the n-grams it asked for. So nothing is broadcast, and what moves
-is distinct n-grams a shard, whatever the number of texts.
+counts are summed by n-gram over all shards, and the model is built from them by grouped sums and joins on n-grams, contexts
+and suffixes. Log-probabilities go to every task if there are few enough distinct n-grams, which is counted first; else each
+shard is joined with those it asked for. What moves is distinct n-grams a shard, whatever the number of texts.
 """
 
 import math
@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trendloom.llm.common import text_of
+from trendloom.llm.pieces import slices
 from trendloom.session import written
 
 START = "\x02"  # stands before the first character; a text's own ones are treated alike
 _TABLE = 40_000_000
+_SCORED = "doc_id long, lang string, n_chars long, perplexity double"
 
 
 def _shard(column: str, shards: int) -> Column:
@@ -94,7 +96,17 @@ def ngrams(texts: list[str], order: int) -> tuple[np.ndarray, list[str], np.ndar
     # Position i of ``numbers`` ends at character i + order - 1; those that end inside a text are wanted.
     starts = np.cumsum(lengths + order - 1) - lengths
     at = np.repeat(starts - (order - 1) - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-    return numbers[at], names, lengths
+    used, distinct = _numbered(numbers[at], len(names))  # without n-grams over two texts
+    return used, [names[d] for d in distinct.tolist()], lengths
+
+
+def _scores(texts: list[str], known: dict[str, float], order: int) -> tuple[list[float | None], list[int]]:
+    """Perplexities, null for empty texts, and lengths."""
+    numbers, names, lengths = ngrams(texts, order)
+    logp = np.fromiter((known[g] for g in names), dtype=float, count=len(names))
+    sums = np.concatenate([[0.0], np.cumsum(logp[numbers])]) if len(names) else np.zeros(1)
+    ends = np.cumsum(lengths)
+    return [math.exp((sums[e - n] - sums[e]) / n) if n else None for e, n in zip(ends.tolist(), lengths.tolist())], lengths.tolist()
 
 
 def shard_counts(blobs: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
@@ -156,34 +168,53 @@ def log_probabilities(counts: DataFrame, order: int) -> DataFrame:
     return shorter.select("gram", F.log("p").alias("logp"))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 4, id_col: str = "doc_id", text_col: str = "text",
-                 lang_col: str = "lang") -> DataFrame:
+def _score_broadcast(rows: DataFrame, logs: DataFrame, order: int) -> DataFrame:
+    """For a table that is small enough to go to every task; texts stay where they are read."""
+    found = logs.toPandas()
+    table = rows.sparkSession.sparkContext.broadcast((found["gram"].tolist(), found["logp"].to_numpy()))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = dict(zip(table.value[0], table.value[1].tolist()))
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in slices(texts, 4_000_000):
+                values, lengths = _scores(texts[a:b], known, order)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lengths, type=pa.int64()),
+                                                  pa.array(values, type=pa.float64())], ["doc_id", "lang", "n_chars", "perplexity"])
+
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(score, _SCORED)
+
+
+def _score_by_shard(blobs: DataFrame, counts: DataFrame, logs: DataFrame, order: int) -> DataFrame:
+    """For a table of any size: each shard is joined with the n-grams it has."""
+    asked = counts.select("shard", "gram").join(logs, "gram").select("shard", "gram", "logp")
+
+    def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        known, found = dict(zip(right["gram"], right["logp"])), [pd.DataFrame({"doc_id": [], "lang": [], "n_chars": [], "perplexity": []})]
+        for part in _unpacked(left["blob"]):
+            values, lengths = _scores(part["text"].tolist(), known, order)
+            found.append(pd.DataFrame({"doc_id": part["doc_id"], "lang": part["lang"], "n_chars": lengths, "perplexity": values}))
+        return pd.concat(found, ignore_index=True).astype({"doc_id": "Int64", "n_chars": "int64", "perplexity": "float64"})
+
+    return blobs.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(score, _SCORED)
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 4, most_broadcast: int = 1_000_000, id_col: str = "doc_id",
+                 text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, lang, n_chars, perplexity`` of each row; ``trusted`` has the ``doc_id`` of the trusted texts.
 
-    Null or empty text: null perplexity. Without trusted text all characters are alike.
+    Null or empty text: null perplexity. Without trusted text all characters are alike. If there are at most ``most_broadcast`` distinct
+    n-grams they go to every task, else each shard gets its own; results are the same.
     """
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), text_of(text_col).alias("text"))
     blobs = packed(rows, shards)
     good = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("shard", _shard("doc_id", shards))
     counts = written(shard_counts(blobs, good, order), "shard-grams")
-    logs = counts.select("shard", "gram").join(log_probabilities(counts.select("gram", "n"), order), "gram").select("shard", "gram", "logp")
-
-    def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known, found = dict(zip(right["gram"], right["logp"])), []
-        for part in _unpacked(left["blob"]):
-            numbers, names, lengths = ngrams(part["text"].tolist(), order)
-            logp = np.fromiter((known[g] for g in names), dtype=float, count=len(names))
-            sums = np.concatenate([[0.0], np.cumsum(logp[numbers])])
-            ends = np.cumsum(lengths)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                value = np.exp(-(sums[ends] - sums[ends - lengths]) / lengths)
-            found.append(pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "lang": part["lang"], "n_chars": lengths,
-                                       "perplexity": [float(v) if n else None for v, n in zip(value, lengths)]}))
-        columns = {"doc_id": "Int64", "lang": object, "n_chars": "int64", "perplexity": float}
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({c: pd.Series(dtype=t) for c, t in columns.items()})
-
-    return blobs.groupBy("shard").cogroup(logs.groupBy("shard")).applyInPandas(score, "doc_id long, lang string, n_chars long, perplexity double")
+    logs = written(log_probabilities(counts.select("gram", "n"), order), "log-probabilities")
+    if logs.count() <= most_broadcast:
+        return _score_broadcast(rows, logs, order)
+    return _score_by_shard(blobs, counts, logs, order)
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.99, slack: float = 1.25, min_trusted: int = 20, min_chars: int = 50,
