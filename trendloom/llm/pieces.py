@@ -11,6 +11,13 @@ from collections.abc import Callable, Iterator
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(f"[{WHITE}]?[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}][^{WHITE}])|[{WHITE}]+")
 _ODD = re.compile(f"\\A[{WHITE}]|[ \n](?:[{WHITE}]|\\Z)")
+_WHITE = re.compile(f"[{WHITE}]")
+
+
+def _starts_blank(piece: str) -> bool:
+    """Whether a piece cut at a blank or line feed has nothing or another blank after it."""
+    rest = piece[1:2] if piece[:1] == "\n" else piece[:1]
+    return not rest or _WHITE.match(rest) is not None
 
 
 class PieceCoder:
@@ -20,7 +27,7 @@ class PieceCoder:
     mostly the frequent ones; others are encoded once per call. Pieces over ``longest`` characters are never kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], specials: dict[str, bytes], room: int = 500_000, longest: int = 48):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], specials: dict[str, bytes], room: int = 700_000, longest: int = 48):
         self._encode, self._specials, self._room, self._longest = encode, specials, room, longest
         self._known: dict[str, bytes] = {}   # by the piece without the blank before it, or with its line feed
         self._exact: dict[str, bytes] = {}   # by the piece as it stands
@@ -30,24 +37,30 @@ class PieceCoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         plain, odd = {}, {}
         for i, text in enumerate(texts):
-            if any(s in text for s in self._specials) or _ODD.search(text):
-                odd[i] = [p for part in (self._cut.split(text) if self._cut else [text])
-                          for p in ([part] if part in self._specials else _PIECE.findall(part))]
+            if any(s in text for s in self._specials):
+                odd[i] = None
             else:  # every blank and line feed starts a piece; the first piece is given a line feed, taken off again
                 plain[i] = ("\n" + text.replace("\n", " \n")).split(" ")
-        extra = self._learn(self._known, plain.values(), lambda p: p if p[:1] == "\n" else " " + p)
+        new = set().union(*plain.values()).difference(self._known)
+        if any(_starts_blank(p) for p in new):  # some texts have blanks in a row or at an end
+            odd |= {i: None for i in plain if _ODD.search(texts[i])}
+            plain = {i: pieces for i, pieces in plain.items() if i not in odd}
+            new = set().union(*plain.values()).difference(self._known)
+        for i in odd:
+            odd[i] = [p for part in (self._cut.split(texts[i]) if self._cut else [texts[i]])
+                      for p in ([part] if part in self._specials else _PIECE.findall(part))]
+        extra = self._learn(self._known, new, lambda p: p if p[:1] == "\n" else " " + p)
         known, out = self._known, [b""] * len(texts)
         for i, pieces in plain.items():
             out[i] = b"".join(map(known.__getitem__, pieces))[self._feed:]
         self._forget(known, extra)
-        extra = self._learn(self._exact, odd.values(), lambda p: p)
+        extra = self._learn(self._exact, set().union(*odd.values()).difference(self._exact), lambda p: p)
         for i, pieces in odd.items():
             out[i] = b"".join(map(self._exact.__getitem__, pieces))
         self._forget(self._exact, extra)
         return out
 
-    def _learn(self, known: dict, lists, whole: Callable[[str], str]) -> list[str]:
-        new = set().union(*lists).difference(known)
+    def _learn(self, known: dict, new: set[str], whole: Callable[[str], str]) -> list[str]:
         extra = [p for p in new if len(p) > self._longest]
         extra += [p for p in new if len(p) <= self._longest][max(0, self._room - len(known)):]
         todo = [p for p in new if p not in self._specials]
