@@ -63,7 +63,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 def differing_paragraphs(a: Column, b: Column) -> Column:
     """Numbers, from 0 over the whole text, of the paragraphs of ``a`` that are not in ``b``: where edits are."""
-    paragraphs = lambda m: F.filter(F.split(F.regexp_replace(F.substring_index(m, "|", -F.size(F.split(m, "[|]")) + 1), r"(^|[|])[0-9a-f]+:", ";"), ";"), lambda x: x != "")
+    def paragraphs(mark):
+        sections = F.split(mark, "[|]")
+        return F.flatten(F.transform(F.slice(sections, F.lit(2), F.size(sections)), lambda x: F.split(F.substring_index(x, ":", -1), ";")))
+
     own = F.transform(paragraphs(a), lambda p, i: F.struct(F.substring_index(p, ",", 1).alias("h"), i.alias("at")))
     other = F.transform(paragraphs(b), lambda p: F.substring_index(p, ",", 1))
     gone = F.array_except(F.transform(own, lambda x: x.h), other)

@@ -165,5 +165,5 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, tr
 
 def first_of_each_class(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is their class's; of rows that repeat an id, one."""
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates([id_col])

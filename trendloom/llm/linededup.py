@@ -46,12 +46,14 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     gone = shared_lines(docs, min_chars, min_docs, id_col, text_col).select(
         F.col("_id").alias("_gone_id"), F.col("_text_hash").alias("_gone_hash"), F.col("_positions").alias("_gone_at"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.join(gone, (id_key(id_col) == F.col("_gone_id")) & (F.xxhash64(text_of(text_col)) == F.col("_gone_hash")), "left")
-    joined = joined.withColumn("_all", _lines(text_of(text_col)))
+    # The rows travel as one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct(*columns).alias("row"), id_key(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_text_hash"))
+    joined = rows.join(gone, (rows._id == gone._gone_id) & (rows._text_hash == gone._gone_hash), "left")
+    joined = joined.select("row", F.col(f"row.{text_col}").alias("_text"), "_gone_at").withColumn("_all", _lines(text_of("_text")))
     # What stays are the runs of lines between two dropped ones, in order: one pass, however many go.
     joined = joined.withColumn("_cut", F.concat(F.array(F.lit(-1)), F.coalesce("_gone_at", F.array().cast("array<int>")), F.array(F.size("_all"))))
     kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_cut") - 1), lambda j: F.slice(
         F.col("_all"), F.get("_cut", j - 1) + 2, F.get("_cut", j) - F.get("_cut", j - 1) - 1)))
-    text = F.when(F.col("_gone_at").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", kept))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in columns],
+    text = F.when(F.col("_gone_at").isNull(), F.col("_text")).otherwise(F.concat_ws("\n", kept))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in columns],
                          F.size("_all").cast("long").alias("n_lines"), (F.size("_cut") - 2).cast("long").alias("n_dropped"))

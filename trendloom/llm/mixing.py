@@ -75,15 +75,12 @@ def plan_mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), share: float =
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as ``plan_mix`` takes it, with its columns unchanged."""
-    plan = plan_mix(docs, **settings)
-    nth = Window.partitionBy("_mix_id").orderBy("_mix_source", "_mix_size")
-    plan = (plan.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"),
-                        F.col("copies").alias("_mix_copies")).withColumn("_mix_nth", F.row_number().over(nth)))
-    keyed = docs.select("*", F.col(settings.get("id_col", "doc_id")).alias("_doc_id"),
-                        F.col(settings.get("source_col", "source")).alias("_doc_source"),
-                        word_count(text_of(settings.get("text_col", "text"))).alias("_doc_size"))
-    keyed = keyed.withColumn("_doc_nth", F.row_number().over(Window.partitionBy("_doc_id").orderBy("_doc_source", "_doc_size")))
-    both = keyed.join(plan, keyed._doc_id.eqNullSafe(plan._mix_id) & (keyed._doc_nth == plan._mix_nth))
+    plan = plan_mix(docs, **settings).select(F.col("doc_id").alias("id"), "source", "size", "copies")
+    plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("source", "size")))
+    # The rows travel as one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(settings.get("id_col", "doc_id")).alias("doc_id"),
+                       F.col(settings.get("source_col", "source")).alias("_source"), word_count(text_of(settings.get("text_col", "text"))).alias("_size"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("_source", "_size")))
+    both = rows.join(plan, rows.doc_id.eqNullSafe(plan.id) & (rows._nth == plan.nth))
     # Zero copies: an empty array, so no row.
-    copies = F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int"))
-    return both.withColumn("_mix_copy", F.explode(copies)).select(*[F.col(c) for c in docs.columns])
+    return both.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
