@@ -112,7 +112,7 @@ def _verified(members: DataFrame, sets: DataFrame, similarity: float, block: int
         first = len(sets) if inside else int((~rows["_second"]).sum())
         left, right = sets[:first], sets if inside else sets[first:]
         if not left or not right:
-            return pd.DataFrame({"node": [], "root": [], "links": []}).astype({"links": "int64"})
+            return pd.DataFrame({"node": pd.Series(dtype=object), "root": pd.Series(dtype=object), "links": pd.Series(dtype="int64")})
         common = common_counts(left, right)
         union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - common
         alike = common >= similarity * union - 1e-9
@@ -126,7 +126,7 @@ def _verified(members: DataFrame, sets: DataFrame, similarity: float, block: int
             pairs[:, 1] += first
         roots = _forest(pairs, len(nodes))
         hit = np.flatnonzero(links)
-        return pd.DataFrame({"node": [nodes[i] for i in hit], "root": [nodes[roots[i]] for i in hit], "links": links[hit].astype("int64")})
+        return pd.DataFrame({"node": pd.Series([nodes[i] for i in hit], dtype=object), "root": pd.Series([nodes[roots[i]] for i in hit], dtype=object), "links": links[hit].astype("int64")})
 
     return units.groupBy("label", "_low", "_high").applyInPandas(verify, "node binary, root binary, links long")
 

@@ -118,7 +118,7 @@ def shard_counts(blobs: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
             weight = np.repeat(np.array([i in good for i in docs["doc_id"].tolist()], dtype=float), lengths)
             for g, n in zip(names, np.bincount(numbers, weights=weight, minlength=len(names)).astype(np.int64).tolist()):
                 total[g] = total.get(g, 0) + n
-        return pd.DataFrame({"shard": np.int32(key[0]), "gram": list(total), "n": np.fromiter(total.values(), dtype=np.int64, count=len(total))})
+        return pd.DataFrame({"shard": np.int32(key[0]), "gram": pd.Series(list(total), dtype=object), "n": np.fromiter(total.values(), dtype=np.int64, count=len(total))})
 
     return blobs.groupBy("shard").cogroup(trusted.groupBy("shard")).applyInPandas(count, "shard int, gram string, n long")
 
@@ -190,7 +190,7 @@ def _score_by_shard(blobs: DataFrame, counts: DataFrame, logs: DataFrame, order:
     asked = counts.select("shard", "gram").join(logs, "gram").select("shard", "gram", "logp")
 
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known, found = dict(zip(right["gram"], right["logp"])), [pd.DataFrame({"doc_id": [], "lang": [], "n_chars": [], "perplexity": []})]
+        known, found = dict(zip(right["gram"], right["logp"])), [pd.DataFrame({"doc_id": [], "lang": pd.Series(dtype=object), "n_chars": [], "perplexity": []})]
         for part in _unpacked(left["blob"]):
             values, lengths = _scores(part["text"].tolist(), known, order)
             found.append(pd.DataFrame({"doc_id": part["doc_id"], "lang": part["lang"], "n_chars": lengths, "perplexity": values}))
@@ -227,7 +227,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float
     often as it is there. Empty tables: no rows. Ids must be integers. Other columns are not used.
     """
     trusted = labels.where(F.col("quality") == 1).select("doc_id").distinct()
-    scored = written(perplexities(docs, trusted, order, id_col, text_col, lang_col), "perplexities")
+    scored = written(perplexities(docs, trusted, order, id_col=id_col, text_col=text_col, lang_col=lang_col), "perplexities")
     own = scored.join(trusted, "doc_id", "left_semi").groupBy("lang").agg(
         F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("_q"), F.count("perplexity").alias("_n"))
     limits = own.where(F.col("_n") >= min_trusted).select(F.col("lang").alias("_lang"), (F.col("_q") * slack).alias("threshold"))

@@ -39,7 +39,7 @@ class PieceCoder:
         for i, text in enumerate(texts):
             if any(s in text for s in self._specials):
                 odd[i] = None
-            else:  # every blank and line feed starts a piece; the first piece is given a line feed, taken off again
+            elif text:  # every blank and line feed starts a piece; the first piece is given a line feed, taken off again
                 plain[i] = ("\n" + text.replace("\n", " \n")).split(" ")
         new = set().union(*plain.values()).difference(self._known)
         if any(_starts_blank(p) for p in new):  # some texts have blanks in a row or at an end
