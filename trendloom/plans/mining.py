@@ -111,16 +111,14 @@ dist AS (SELECT v.post_id, c.cluster_id, round(1 - sum(v.w * c.weight / l.length
 @REG.query("assign_nearest", f"""WITH {I.POSTS}, {I.vectors_sql('posts', L.ENGLISH_STOP_WORDS)}, {_CENTERS},
 best AS (SELECT post_id, cluster_id, distance FROM dist WHERE distance < 0.6
          QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY distance, cluster_id) = 1)
-SELECT p.post_id, b.cluster_id, round(b.distance, 4) AS distance FROM posts p LEFT JOIN best b USING (post_id) WHERE p.lang = 'en'""")
+SELECT p.post_id, b.cluster_id, round(b.distance, 4) AS distance FROM posts p LEFT JOIN best b USING (post_id)""")
 def assign_nearest(spark, sf):
-    """English posts against the centroids of the given clusters; a post without a match keeps nulls."""
+    """All posts against the centroids of the given clusters; a post without a match keeps nulls."""
     p = I.posts(spark, sf)
-    rows = vectors.vectors(p, ("cluster_id", "post_id", "lang"))
+    rows = vectors.vectors(p, ("cluster_id", "post_id"))
     centers = rows.groupBy("cluster_id", "term").agg(F.sum("w").alias("weight"))
-    english = filters.lang_gate(rows, "en").select("term", "w", F.col("post_id").alias("id"))
-    found = vectors.assign_all(vectors.scoped(english), vectors.scoped(centers)).select(F.col("id").alias("post_id"), "cluster_id", "distance")
-    posts = filters.lang_gate(p, "en").select("post_id")
-    return posts.join(found, "post_id", "left").select("post_id", "cluster_id", F.round("distance", 4).alias("distance"))
+    found = vectors.assign_all(vectors.scoped(rows.select("term", "w", F.col("post_id").alias("id"))), vectors.scoped(centers)).select(F.col("id").alias("post_id"), "cluster_id", "distance")
+    return p.select("post_id").join(found, "post_id", "left").select("post_id", "cluster_id", F.round("distance", 4).alias("distance"))
 
 
 @REG.query("nearest_centroid_join", """WITH flat AS (
@@ -142,23 +140,20 @@ def nearest_centroid_join(spark, sf):
     return found.select(F.col("id").alias("vec_id"), F.col("cluster_id").alias("nearest_label"), F.round("distance", 4).alias("distance"))
 
 
-_ENGLISH = "english AS (SELECT post_id, full_text, created_at, time_bucket(INTERVAL 4 HOUR, created_at) AS epoch FROM posts WHERE lang = 'en')"
-
-
-@REG.query("open_clusters", f"""WITH RECURSIVE {I.POSTS}, {_ENGLISH}, {I.vectors_sql('english', L.ENGLISH_STOP_WORDS)},
+@REG.query("open_clusters", f"""WITH RECURSIVE {I.POSTS}, {I.vectors_sql('posts', L.ENGLISH_STOP_WORDS)},
 near AS (SELECT a.post_id AS l, b.post_id AS r, round(1 - sum(a.w * b.w), 9) + 0.0 AS distance
          FROM vec a JOIN vec b USING (term) WHERE a.post_id <> b.post_id GROUP BY ALL HAVING round(1 - sum(a.w * b.w), 9) < 0.6),
-edges AS (SELECT l, r, distance FROM near JOIN english p ON p.post_id = l JOIN english q ON q.post_id = r
+edges AS (SELECT l, r, distance FROM near JOIN posts p ON p.post_id = l JOIN posts q ON q.post_id = r
           WHERE (q.created_at, r) < (p.created_at, l)),
-arrivals AS (SELECT post_id AS id, created_at FROM english),
+arrivals AS (SELECT post_id AS id, created_at FROM posts),
 {I.greedy_sql('edges', 'arrivals')},
-joined AS (SELECT l, r, distance FROM edges JOIN english q ON q.post_id = r WHERE l IN (FROM dropped) AND r NOT IN (FROM dropped)
+joined AS (SELECT l, r, distance FROM edges JOIN posts q ON q.post_id = r WHERE l IN (FROM dropped) AND r NOT IN (FROM dropped)
            QUALIFY row_number() OVER (PARTITION BY l ORDER BY distance, q.created_at, r) = 1)
 SELECT a.id AS post_id, coalesce(j.r, a.id) AS leader, round(coalesce(j.distance, 0), 4) + 0.0 AS distance
 FROM arrivals a LEFT JOIN joined j ON j.l = a.id""")
 def open_clusters(spark, sf):
-    """All English posts as one batch of unmatched posts."""
-    p = filters.lang_gate(I.posts(spark, sf), "en").select("post_id", "created_at", "preprocessed_text")
+    """All posts as one batch of unmatched posts."""
+    p = I.posts(spark, sf).select("post_id", "created_at", "preprocessed_text")
     ordered = neardup.with_rank(vectors.scoped(p), ["created_at", "post_id"], "id")
     index, _ = clustering.index_vectors(vectors.vectors(ordered, ("scope", "id")).drop("tf"))
     opened, _ = clustering.open_clusters(ordered.select("scope", "id"), index)
@@ -169,8 +164,8 @@ def open_clusters(spark, sf):
 
 @REG.query("recluster")
 def recluster(spark, sf):
-    """English posts, clusters per 4-hour epoch, in batches of a twelfth of the epoch."""
-    p = retention.with_epoch(filters.min_words(filters.lang_gate(I.posts(spark, sf), "en"), 3, "preprocessed_text"))
+    """All posts, clusters per 4-hour epoch, in batches of a twelfth of the epoch."""
+    p = retention.with_epoch(filters.min_words(I.posts(spark, sf), 3, "preprocessed_text"))
     assigned, _, _ = clustering.recluster(p, "epoch")
     return assigned.select(F.col("scope").alias("epoch"), "post_id", "cluster_id", F.round("distance", 4).alias("distance"))
 
@@ -193,7 +188,7 @@ def _summary_sql(min_posts: int, rounds: int = summary.ROUNDS, damping: float =
 big AS (SELECT cluster_id FROM posts GROUP BY 1 HAVING count(*) > {min_posts}),
 parts AS (SELECT cluster_id, created_at, post_id, unnest(s) AS sentence, unnest(generate_series(1, len(s))) AS pos
           FROM (SELECT *, list_filter(list_transform(regexp_extract_all(preprocessed_text, '[^.!?\n]+[.!?]*'), lambda x: trim(x)),
-                                      lambda x: length(x) > 0) AS s FROM posts WHERE cluster_id IN (FROM big))),
+                                      lambda x: regexp_matches(x, '\S')) AS s FROM posts WHERE cluster_id IN (FROM big))),
 sentences AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY cluster_id, created_at, post_id, pos) AS sid,
               len(regexp_extract_all(sentence, '\S+')) AS words FROM parts),
 totals AS MATERIALIZED (SELECT cluster_id, count(*) AS total FROM sentences GROUP BY 1),
@@ -214,7 +209,7 @@ ranked AS (SELECT s.cluster_id, s.sid, s.sentence, s.words,
 summed AS (SELECT *, sum(words) OVER (PARTITION BY cluster_id ORDER BY k) AS total FROM ranked)
 SELECT c.cluster_id, coalesce(s.summary, '') AS summary FROM (SELECT DISTINCT cluster_id FROM posts) c LEFT JOIN (
   SELECT cluster_id, string_agg(sentence, ' ' ORDER BY sid) AS summary FROM summed
-  WHERE abs(total - 25) <= abs(total - words - 25) GROUP BY cluster_id) s USING (cluster_id)"""
+  WHERE k = 1 OR abs(total - 25) <= abs(total - words - 25) GROUP BY cluster_id) s USING (cluster_id)"""
 
 
 @REG.query("cluster_summary", _summary_sql(20))

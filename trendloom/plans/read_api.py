@@ -142,21 +142,21 @@ def cluster_rate(spark, sf):
 
 
 @REG.query("allocate_cluster_ids", f"""WITH {I.POSTS}
-SELECT post_id, 100 + row_number() OVER (ORDER BY created_at, post_id) AS cluster_id FROM posts WHERE lang = 'en'""")
+SELECT post_id, 100 + row_number() OVER (ORDER BY created_at, post_id) AS cluster_id FROM posts""")
 def allocate_cluster_ids(spark, sf):
-    seeds = filters.lang_gate(I.posts(spark, sf), "en").select("post_id", "created_at")
+    seeds = I.posts(spark, sf).select("post_id", "created_at")
     return ranking.allocate(seeds, 100, ["created_at", "post_id"]).select("post_id", "cluster_id")
 
 
 @REG.query("recent_top_clusters", rf"""WITH {I.POSTS}
 SELECT cluster_id, count(post_id) AS points FROM posts
-WHERE lang = 'en' AND len(regexp_extract_all(full_text, '\S+')) > 3
+WHERE len(regexp_extract_all(full_text, '\S+')) > 3
   AND created_at > (SELECT max(created_at) FROM posts) - INTERVAL 1 DAY
 GROUP BY cluster_id ORDER BY points DESC, cluster_id LIMIT 10""")
 def recent_top_clusters(spark, sf):
     p = I.posts(spark, sf)
     as_of = filters.latest_time(p)
-    gated = filters.min_words(filters.lang_gate(p, "en"), 3, "full_text")
+    gated = filters.min_words(p, 3, "full_text")
     return trends.recent_top(gated, as_of, 10, minutes=24 * 60)
 
 
@@ -198,3 +198,14 @@ ORDER BY post_count DESC, cluster_id LIMIT 15""")
 def preview_rows(spark, sf):
     listed = I.clusters(I.actions(spark, sf)).select("cluster_id", "post_count")
     return trends.preview(listed, 15, [F.desc("post_count"), "cluster_id"])
+
+
+@REG.query("recent_cluster_detail", f"""WITH {I.POSTS}, {I.clusters_sql('posts')}
+SELECT p.post_id, p.preprocessed_text, p.created_at, p.cluster_id, c.summary
+FROM posts p JOIN clusters c USING (cluster_id)
+WHERE p.cluster_id = 7 AND p.created_at > (SELECT max(created_at) FROM posts WHERE cluster_id = 7) - INTERVAL 30 MINUTE""")
+def recent_cluster_detail(spark, sf):
+    """Posts of one cluster that are younger than 30 minutes, as of its last post."""
+    p = I.posts(spark, sf)
+    as_of = filters.latest_time(filters.of_cluster(p, 7))
+    return trends.detail(I.clusters(p), filters.recent(p, as_of), 7).select("post_id", "preprocessed_text", "created_at", "cluster_id", "summary")
