@@ -12,7 +12,7 @@ from trendloom.session import scratch_dir
 from trendloom.sources import tables
 from trendloom.sources.posts import read_posts
 from trendloom.streaming import windows as W
-from trendloom.streaming.ingest import Ingest, ingest_available, post_stream
+from trendloom.streaming.ingest import Ingest, ingest_available, post_stream, raw_post_stream
 from trendloom.streaming.refresh import Refresher
 
 T0 = datetime(2024, 1, 1, 12)
@@ -187,3 +187,24 @@ def test_tables_of_finished_versions_only(spark, places):
     _, base = places
     job = Ingest(spark, base)
     assert job.posts().count() == 0 and job.clusters().count() == 0 and tables.latest_version(spark, base, "progress") is None
+
+
+def test_old_originals_unlabelled_posts_and_bad_lines_are_not_lost(spark, places):
+    from trendloom.functions.language import train_language_model
+
+    folder, base = places
+    labelled = [(t, "en") for t in texts(20, "a")] + [(f"der koffer nummer {i} ist seit gestern weg und keiner weiß wohin", "de") for i in range(20)]
+    model = train_language_model(spark.createDataFrame(labelled, "text string, lang string"))
+    hour_ago = {"post_id": "50", "text": texts(1, "b")[0], "full_text": texts(1, "b")[0], "lang": None, "created_at": (T0 - timedelta(hours=1)).isoformat()}
+    lines = [json.dumps(record(1, texts(1, "c")[0], T0)), json.dumps(record(2, "RT @x something", T0 + timedelta(minutes=1), retweeted=hour_ago)),
+             json.dumps(record(3, texts(1, "d")[0], T0, lang=None)), json.dumps(record(4, labelled[-1][0], T0, lang=None)), '{"post_id": "5", "text": "cut o']
+    for part in (lines[:1], lines[1:]):
+        spark.createDataFrame([(x,) for x in part], "value string").coalesce(1).write.mode("append").text(folder)
+        posts, bad = raw_post_stream(spark.readStream.text(folder), CFG, model=model)
+        job = Ingest(spark, base, cfg=CFG, retire_inactive=False)
+        job.start(posts).awaitTermination()
+        job.keep_bad(bad).awaitTermination()
+    got = {r.post_id: r for r in job.posts().collect()}
+    assert {"1", "3", "50"} <= set(got) and "4" not in got
+    assert got["50"].created_at == T0 - timedelta(hours=1) and got["50"].assignment_time == T0 + timedelta(minutes=1)
+    assert [(r.value, r.reason) for r in spark.read.parquet(f"{base}/quarantine").collect()] == [(lines[-1], "corrupt")]

@@ -36,7 +36,7 @@ def expand(events: DataFrame, lang: str = "en", seen: DataFrame | None = None) -
     """One event becomes 0..2 posts (``pos`` keeps their order).
 
     A text with the repost marker yields only its original; a quote yields the quoted original, then itself;
-    anything else yields itself. Originals must be present, in ``lang`` and not in ``seen``.
+    anything else yields itself. ``arrived_at`` is the event's own time, however old the original is. Originals must be present, in ``lang`` and not in ``seen``.
     """
     fields = ("post_id", "text", "full_text", "lang", "created_at")
     no_entities = F.lit(None).cast(ENTITIES).alias("entities")
@@ -50,8 +50,8 @@ def expand(events: DataFrame, lang: str = "en", seen: DataFrame | None = None) -
                .when(F.coalesce(F.col("is_quote"), F.lit(False)), F.array(original("quoted"), itself))
                .otherwise(F.array(itself)))
     allowed = F.filter(choices, lambda p: (p["kind"] == "self") | (p["post_id"].isNotNull() & (p["lang"] == lang)))
-    posts = (events.select(F.col("post_id").alias("event_id"), F.posexplode(allowed).alias("pos", "post"))
-             .select("event_id", "pos", "post.*"))
+    posts = (events.select(F.col("post_id").alias("event_id"), F.col("created_at").alias("arrived_at"), F.posexplode(allowed).alias("pos", "post"))
+             .select("event_id", "arrived_at", "pos", "post.*"))
     if seen is None:
         return posts
     # Only originals are looked up here; the event's own id is checked by skip_seen before expansion.
