@@ -1,10 +1,9 @@
 """Scalar text and time functions; all take and return Columns."""
 
-import html
+import json
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from trendloom.functions import lexicon as L
 
@@ -48,14 +47,54 @@ def strip_media(text: Column, media: Column) -> Column:
 
 # --- unescape and social clean-up ---
 
-@F.pandas_udf(StringType())
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+def _numeric_exceptions() -> dict[int, str]:
+    """Code points that a numeric reference does not stand for itself: the null, the C1 range, which
+    is read as windows-1252, and those that are no characters, which vanish."""
+    found = {0: "\ufffd", 13: "\r"}
+    for n in [*range(1, 9), 11, *range(14, 32), 127, *range(0xFDD0, 0xFDF0), *[p * 0x10000 + e for p in range(17) for e in (0xFFFE, 0xFFFF)]]:
+        found[n] = ""
+    for n in range(0x80, 0xA0):
+        found[n] = bytes([n]).decode("cp1252", errors="ignore") or chr(n)
+    return found
+
+
+def _table(values: dict, key: str) -> Column:
+    """A constant map; folded once, not built for each row."""
+    return F.from_json(F.lit(json.dumps(values)), f"map<{key},string>")
+
+
+_ENTITY = (r"(?s)&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[^\t\n\f <&#;]{1,32}+;?)|[^&]++|&")
+_SHORT = {k: v for k, v in html5.items() if not k.endswith(";")}  # names that also count without a semicolon
+
+
+def _character(digits: Column, base: int) -> Column:
+    """The character of a numeric reference; U+FFFD beyond Unicode and for surrogates."""
+    kept = F.ltrim(digits, F.lit("0"))
+    n = F.when(F.length(kept) > 7, F.lit(0x110000)).otherwise(F.conv(F.when(kept == "", F.lit("0")).otherwise(kept), base, 10).cast("long"))
+    own = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    known = F.try_element_at(_table({str(k): v for k, v in _numeric_exceptions().items()}, "string"), n.cast("string"))
+    return F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("\ufffd")).otherwise(F.coalesce(known, own))
+
+
+def _named(run: Column) -> Column:
+    """A name's characters; of an unknown name the longest start that is a name without its semicolon."""
+    name = F.substring(run, 2, 40)
+    starts = [F.concat(F.try_element_at(_table(_SHORT, "string"), F.when(F.length(name) > n, F.substring(name, 1, n))), F.substring(name, n + 1, 40))
+              for n in range(max(map(len, _SHORT)), 1, -1)]
+    return F.coalesce(F.try_element_at(_table(html5, "string"), name), *starts, run)
 
 
 def html_unescape(text: Column) -> Column:
-    """Decode all HTML entities. Only texts with an ampersand travel to Python, as Arrow batches."""
-    return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
+    """Decode all HTML entities: the text is cut into entities and runs without one, each is decoded once, and all are joined."""
+    def decoded(run: Column) -> Column:
+        digits = F.regexp_replace(run, "[&#xX;]", "")
+        hexadecimal = F.lower(F.substring(run, 3, 1)) == "x"
+        return (F.when(~F.startswith(run, F.lit("&")) | (run == "&"), run)
+                .when(F.startswith(run, F.lit("&#")), F.when(hexadecimal, _character(digits, 16)).otherwise(_character(digits, 10)))
+                .otherwise(_named(run)))
+
+    runs = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(runs, decoded), "")).otherwise(text)
 
 
 def social_clean(text: Column, classes=L.SOCIAL_DEFAULT) -> Column:
