@@ -161,7 +161,7 @@ def write_ids(coded: DataFrame, ranking: list[int], path: str, order_id: str = "
     rows = coded.withColumn(order_id, id_key("doc_id"))
     n = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, order_id).sortWithinPartitions(order_id, "ids").select(F.col("doc_id").cast("long"), "ids")
-    rows.mapInArrow(run, "part long, part_start long, doc_ids array<long>, counts array<long>, control binary, data binary").write.parquet(path)
+    rows.mapInArrow(run, "part long, part_start long, doc_ids array<long>, counts array<long>, control binary, data binary").write.option("compression", "zstd").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, ranking: list[int]) -> DataFrame:
