@@ -112,10 +112,6 @@ def strip_entities(text: Column, entities: Column, keep_handles=()) -> Column:
     return strip_media(text, entities["media"])
 
 
-def clean_text(text: Column, entities: Column, keep_handles=()) -> Column:
-    return social_clean(html_unescape(strip_entities(text, entities, keep_handles)))
-
-
 # --- words, tokens, sentences ---
 
 def words(text: Column) -> Column:

@@ -27,11 +27,6 @@ def skip_seen(df: DataFrame, recent: DataFrame, key: str = "post_id") -> DataFra
     return df.join(recent.select(key), key, "left_anti")
 
 
-def skip_seen_stream(df: DataFrame, key: str = "post_id", time: str = "created_at", hours: int = 4) -> DataFrame:
-    """Streaming form: ids are remembered for ``hours`` of event time."""
-    return df.withWatermark(time, f"{hours} hours").dropDuplicatesWithinWatermark([key])
-
-
 def expand(events: DataFrame, lang: str = "en", seen: DataFrame | None = None) -> DataFrame:
     """One event becomes 0..2 posts (``pos`` keeps their order).
 

@@ -1,5 +1,6 @@
 """Session set-up and the shared scratch folder used to cut lineage."""
 
+import re
 import tempfile
 import uuid
 
@@ -18,7 +19,7 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="trendloom-"))
     return context.getCheckpointDir()

@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from trendloom.session import scratch_dir
+from trendloom.sources import tables
 
 
 @dataclass
 class Refresher:
-    """``view`` turns a stream into the refreshed rows; each refresh replaces the table below ``base``."""
+    """``view`` turns a stream into the refreshed rows; each refresh is a new version below ``base``, so readers never meet
+    a table that is being replaced."""
 
     stream: DataFrame
     view: Callable[[DataFrame], DataFrame]
@@ -26,7 +28,7 @@ class Refresher:
     def resume(self) -> "Refresher":
         """Start, or go on from the checkpoint after a pause."""
         def replace(rows: DataFrame, batch_id: int) -> None:
-            rows.write.mode("overwrite").parquet(f"{self.base}/view")
+            tables.write_version(rows, self.base, "view", batch_id)
 
         self.query = (self.view(self.stream).writeStream.outputMode("complete").foreachBatch(replace)
                       .option("checkpointLocation", f"{self.base}/checkpoint")
@@ -40,4 +42,5 @@ class Refresher:
         return self
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/view")
+        newest = tables.latest_version(self.spark, self.base, "view")
+        return self.spark.read.parquet(tables.version_path(self.base, "view", newest))
