@@ -196,7 +196,7 @@ def coder(path: str) -> PieceCoder:
         ids = dict(zip(distinct, (x.astype("<i4").tobytes() for x in merge_many([w.encode() for w in distinct], vocab))))
         return [b"".join(map(ids.__getitem__, words)) for words in lists]
 
-    return PieceCoder(encode, {s: np.array([i], dtype="<i4").tobytes() for s, i in vocab.specials.items()}, room=350_000)
+    return PieceCoder(encode, {s: np.array([i], dtype="<i4").tobytes() for s, i in vocab.specials.items()}, room=200_000)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
@@ -217,7 +217,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, 4_000_000):
+            for a, b in slices(texts, 2_000_000):
                 coded = encode_texts(texts[a:b], path)
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"))

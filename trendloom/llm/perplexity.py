@@ -19,7 +19,7 @@ from trendloom.llm.pieces import slices
 from trendloom.session import written
 
 START = "\x02"  # stands before the first character; a text's own ones are treated alike
-_TABLE = 40_000_000
+_TABLE = 16_000_000
 _SCORED = "doc_id long, lang string, n_chars long, perplexity double"
 
 
@@ -54,7 +54,7 @@ def packed(docs: DataFrame, shards: int, chars: int = 16_000_000) -> DataFrame:
     return rows.mapInArrow(run, "shard int, blob binary")
 
 
-def _unpacked(blobs, chars: int = 3_000_000) -> Iterator[pd.DataFrame]:
+def _unpacked(blobs, chars: int = 1_500_000) -> Iterator[pd.DataFrame]:
     held, size = [], 0
     for blob in blobs:
         held.append(pa.ipc.open_stream(blob).read_all().to_pandas())
@@ -177,7 +177,7 @@ def _score_broadcast(rows: DataFrame, logs: DataFrame, order: int) -> DataFrame:
         known = dict(zip(table.value[0], table.value[1].tolist()))
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for a, b in slices(texts, 2_000_000):
+            for a, b in slices(texts, 1_000_000):
                 values, lengths = _scores(texts[a:b], known, order)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lengths, type=pa.int64()),
                                                   pa.array(values, type=pa.float64())], ["doc_id", "lang", "n_chars", "perplexity"])
