@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from trendloom.llm.common import text_of
-from trendloom.llm.pieces import PieceCoder, slices
+from trendloom.llm.pieces import PieceCoder, short_batches, slices
 
 #: Fixed value: the public split pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -215,7 +215,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     ``path`` must be readable on the executors, as the tokenizer's package is. Other columns are not used.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short_batches(batches):
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts, 2_000_000):
                 coded = encode_texts(texts[a:b], path)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trendloom.llm.common import text_of
-from trendloom.llm.pieces import slices
+from trendloom.llm.pieces import short_batches, slices
 from trendloom.session import written
 
 START = "\x02"  # stands before the first character; a text's own ones are treated alike
@@ -118,6 +118,7 @@ def shard_counts(blobs: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
             weight = np.repeat(np.array([i in good for i in docs["doc_id"].tolist()], dtype=float), lengths)
             for g, n in zip(names, np.bincount(numbers, weights=weight, minlength=len(names)).astype(np.int64).tolist()):
                 total[g] = total.get(g, 0) + n
+        pa.default_memory_pool().release_unused()  # the worker stays alive for a while
         return pd.DataFrame({"shard": np.int32(key[0]), "gram": pd.Series(list(total), dtype=object), "n": np.fromiter(total.values(), dtype=np.int64, count=len(total))})
 
     return blobs.groupBy("shard").cogroup(trusted.groupBy("shard")).applyInPandas(count, "shard int, gram string, n long")
@@ -175,7 +176,7 @@ def _score_broadcast(rows: DataFrame, logs: DataFrame, order: int) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = dict(zip(table.value[0], table.value[1].tolist()))
-        for batch in batches:
+        for batch in short_batches(batches):
             texts = batch.column(2).to_pylist()
             for a, b in slices(texts, 1_000_000):
                 values, lengths = _scores(texts[a:b], known, order)

@@ -74,6 +74,13 @@ class PieceCoder:
             del known[p]
 
 
+def short_batches(batches: Iterator, rows: int = 500) -> Iterator:
+    """The same rows in batches of at most ``rows``, so that only so many texts are Python strings at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def slices(texts: list, chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about so many characters, one text at least."""
     start, size = 0, 0
