@@ -152,6 +152,14 @@ def test_base_spans_by_brute_force(make_docs):
         assert set(want) <= set(got[i].spans.split(","))
 
 
+def test_cards_of_single_digits(make_docs):
+    spaced, hyphened = " ".join("4" + "1" * 15), "-".join("4" + "1" * 15)
+    texts = [spaced, f"pay {hyphened} now", "4 1-1 1 1-1 1 1 1-1 1 1 1 1 1 1", " ".join("4" + "1" * 14 + "2"), "1.2.3.4", "1 2", "5"]
+    got = {r.doc_id: r for r in pii.digests(pii.pii_spans(make_docs([(i, t, "en", "s", 0) for i, t in enumerate(texts)]))).collect()}
+    assert [got[i].n_card for i in range(len(texts))] == [1, 1, 1, 0, 0, 0, 0] and got[4].n_ip == 1
+    assert all(got[i].spans == ",".join(base_spans(t)) and got[i].base_sha256 == sha(",".join(base_spans(t))) for i, t in enumerate(texts))
+
+
 def test_trees_add_what_stands_side_by_side(make_docs):
     def card(i):
         body = f"4{i * 7919 % 10 ** 14:014d}"
