@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.conftest import LONG, ODD_ROWS
 from trendloom.llm import bpe, divergence, forest, idfiles, perplexity, shingles
+from trendloom.llm.common import documents, table
 from trendloom.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -255,6 +256,14 @@ def test_junk_goes_and_clean_texts_stay(spark, make_docs, none):
     assert all(r.kept and r.threshold is None for r in untrained)
 
 
+def test_few_bad_texts_pass_and_clean_ones_stay(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    labels = table(spark, sf_dir, "labels")
+    judged = perplexity.classify(documents(spark, sf_dir), labels).join(labels, "doc_id")
+    kept = {r.quality: (r.n, r.kept) for r in judged.groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert kept[0][0] == 58 and kept[0][1] <= 3 and kept[1][1] >= 0.99 * kept[1][0]
+
+
 # --- distribution rules
 
 def base_by_brute_force(text):

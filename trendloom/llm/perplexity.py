@@ -3,7 +3,7 @@
 Texts travel packed, by shard. A shard hands on its distinct n-grams with their counts in trusted text; the
 counts are summed by n-gram over all shards, and the model is built from them by grouped sums and joins on n-grams, contexts
 and suffixes. Log-probabilities go to every task if there are few enough distinct n-grams, which is counted first; else each
-shard is joined with those it asked for. What moves is distinct n-grams a shard, whatever the number of texts.
+shard is joined with those it asked for. What moves is distinct n-grams a shard; their number still grows with the texts.
 """
 
 import math
@@ -218,7 +218,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 4, most_broad
     return _score_by_shard(blobs, counts, logs, order)
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.99, slack: float = 1.25, min_trusted: int = 20, min_chars: int = 50,
+def classify(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.99, slack: float = 1.02, min_trusted: int = 20, min_chars: int = 50,
              id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, lang, n_chars, perplexity, threshold, kept`` for each row of ``docs``.
 
