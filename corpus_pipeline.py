@@ -27,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of copies and near copies."""
-    return forest.first_of_each_class(docs, written(forest.near_duplicates(docs), "classes"))
+    """One document of each class of copies and near copies, the one of the smallest id."""
+    return forest.one_of_each_class(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,6 +169,26 @@ def test_first_of_each_class(odd):
     assert len(ids) == len(set(ids)) and 5 not in ids and 1 in ids and 4 in ids
 
 
+def test_one_of_each_class_by_content(make_docs):
+    other, third = "a quite different text of the same id, and not short", "one more text that has no id at all"
+    near = [" ".join("new" if i == k else f"w{i}" for i in range(120)) for k in (30, 60, 90)]
+    rows = list(ODD_ROWS) + [(5, other, "en", "s", 1), (None, third, "en", "s", 1), (None, " " + third, "en", "s", 1)]
+    rows += [(50, near[0], "en", "s", 1), (51, near[1], "en", "s", 1), (51, "a text that repeats the id of a near copy", "en", "s", 1), (None, near[2], "en", "s", 1)]
+    rows += [(60, "said twice by one id", "en", "s", 1), (60, "said twice by one id", "en", "b", 2)]
+    kept = [forest.one_of_each_class(make_docs(r)) for r in (rows, rows[::-1])]
+    assert kept[0].columns == make_docs([]).columns
+    got = [collections.Counter((r.doc_id, " ".join(WORD.findall(r.text or "")), r.source) for r in k.collect()) for k in kept]
+    words = lambda i: " ".join(WORD.findall(ODD_ROWS[i][1] or ""))
+    # ODD_ROWS: 2, 3, 6 and a null id have no words; 5 copies 1.
+    want = [(1, words(0), "a"), (None, words(3), "b"), (None, "", None), (4, words(5), "a"), (7, words(9), "b"), (-9, "short", "a"),
+            (5, other, "s"), (None, third, "s"), (None, near[2], "s"), (51, "a text that repeats the id of a near copy", "s"), (60, "said twice by one id", "b")]
+    assert got[0] == got[1] == collections.Counter(want)
+
+
+def test_one_of_each_class_of_nothing(none):
+    assert forest.one_of_each_class(none).count() == 0
+
+
 def test_components(spark):
     draw = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(draw.randrange(100, 160), 100) for _ in range(80)] + [(200, 200), (301, 300), (300, 301)]

@@ -28,11 +28,11 @@ def prefix_length(trees: int, depth: int, similarity: float, recall: float) -> i
 
 
 def _signed(docs: DataFrame, trees: int, length: int, words: int) -> DataFrame:
-    """``_id, node, paths``: the key of a text's words, and its trie nodes, none for a text without words."""
+    """``_id, _hash, node, paths``: the key of a text's words, and its trie nodes, none for a text without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = MinHash(trees, length)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in slices(texts, 4_000_000):
                 sets = shingle_lists(texts[a:b], words)
                 some = [i for i, s in enumerate(sets) if len(s)]
@@ -42,10 +42,10 @@ def _signed(docs: DataFrame, trees: int, length: int, words: int) -> DataFrame:
                     labels = (labels + np.arange(trees, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                     for i, row in zip(some, labels):
                         paths[i] = row
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sequence_keys(texts[a:b]), type=pa.binary()),
-                                                  pa.array(paths, type=pa.list_(pa.int64()))], ["_id", "node", "paths"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sequence_keys(texts[a:b]), type=pa.binary()),
+                                                  pa.array(paths, type=pa.list_(pa.int64()))], ["_id", "_hash", "node", "paths"])
 
-    return docs.select("_id", "_text").mapInArrow(run, "_id long, node binary, paths array<long>")
+    return docs.select("_id", "_hash", "_text").mapInArrow(run, "_id long, _hash long, node binary, paths array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -131,21 +131,13 @@ def _verified(members: DataFrame, sets: DataFrame, similarity: float, block: int
     return units.groupBy("label", "_low", "_high").applyInPandas(verify, "node binary, root binary, links long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, trees: int = 24, depth: int = 7, recall: float = 0.999,
-                    block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id, n_links, n_copies``.
-
-    Sets are those of ``words``-word shingles; texts of fewer words have one shingle, all of them. A link is a pair of texts of different words whose
-    Jaccard similarity is ``similarity`` or more, ties included; ``n_links`` counts a text's links, ``n_copies`` the rows of its very
-    words. ``class_id`` is the smallest id of the texts that links and copies connect. A pair just at the threshold is found with
-    probability ``recall``, likelier ones more often; of what is found all is exact. Null and empty texts are copies of each other and have
-    no links. A null id counts as the smallest and makes a null ``class_id``. Repeated rows are copies. Empty table: no rows.
-    Ids must be integers. Other columns are not used.
-    """
+def _classed(docs: DataFrame, similarity: float, words: int, trees: int, depth: int, recall: float, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``_id, node`` of each row, and ``node, n_copies, label, n_links, first_id, first_hash`` of each text; ``label`` names its class."""
     length = prefix_length(trees, depth, similarity, recall)
-    rows = docs.select(id_key(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
+    rows = docs.select(id_key(id_col).cast("long").alias("_id"), F.xxhash64(text_of(text_col)).alias("_hash"), text_of(text_col).alias("_text"))
     signed = written(_signed(rows, trees, length, words), "forest")
-    nodes = written(signed.groupBy("node").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.first("paths").alias("paths")), "forest-nodes")
+    nodes = written(signed.groupBy("node").agg(F.min(F.struct("_id", "_hash")).alias("_first"), F.count(F.lit(1)).alias("n_copies"), F.first("paths").alias("paths")), "forest-nodes")
+    nodes = nodes.select("node", F.col("_first._id").alias("first_id"), F.col("_first._hash").alias("first_hash"), "n_copies", "paths")
     # In each trie node the smallest member stands for all: as many candidate edges as members.
     places = nodes.select("node", F.explode("paths").alias("path"))
     hubs = places.groupBy("path").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
@@ -156,14 +148,45 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, tr
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = nodes.drop("paths").join(classes, "node", "left").join(links, "node", "left")
-    named = named.select("node", "n_copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "first_id")
+    named = named.select("node", "n_copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "first_id", "first_hash")
+    return signed.select("_id", "node"), named
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, trees: int = 24, depth: int = 7, recall: float = 0.999,
+                    block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, class_id, n_links, n_copies``.
+
+    Sets are those of ``words``-word shingles; texts of fewer words have one shingle, all of them. A link is a pair of texts of different words whose
+    Jaccard similarity is ``similarity`` or more, ties included; ``n_links`` counts a text's links, ``n_copies`` the rows of its very
+    words. ``class_id`` is the smallest id of the texts that links and copies connect. A pair just at the threshold is found with
+    probability ``recall``, likelier ones more often; of what is found all is exact. Null and empty texts are copies of each other and have
+    no links. A null id counts as the smallest and makes a null ``class_id``. Repeated rows are copies. Empty table: no rows.
+    Ids must be integers. Other columns are not used.
+    """
+    signed, named = _classed(docs, similarity, words, trees, depth, recall, block, id_col, text_col)
     smallest = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
     named = named.join(smallest, "label").select("node", "class_id", "n_links", "n_copies")
     whole = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return signed.select("_id", "node").join(named, "node").select(whole("_id").alias("doc_id"), whole("class_id").alias("class_id"), "n_links", "n_copies")
+    return signed.join(named, "node").select(whole("_id").alias("doc_id"), whole("class_id").alias("class_id"), "n_links", "n_copies")
 
 
 def first_of_each_class(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is their class's; of rows that repeat an id, one."""
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates([id_col])
+
+
+def one_of_each_class(docs: DataFrame, similarity: float = 0.8, words: int = 5, trees: int = 24, depth: int = 7, recall: float = 0.999,
+                      block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class of ``near_duplicates``, whatever its id: that of the smallest id, then of the smallest key of the words.
+
+    Null ids are the smallest, and no two texts are taken for one because of their ids. Of rows that repeat both id and text the smallest by all
+    columns stays, so reruns give the same rows. Empty table: no rows.
+    """
+    _, named = _classed(docs, similarity, words, trees, depth, recall, block, id_col, text_col)
+    firsts = named.groupBy("label").agg(F.min(F.struct("first_id", "node", "first_hash")).alias("_first"))
+    firsts = written(firsts.select(F.col("_first.first_id").alias("_first_id"), F.col("_first.first_hash").alias("_first_hash")), "firsts")
+    # The rows travel as one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), id_key(id_col).cast("long").alias("_id"), F.xxhash64(text_of(text_col)).alias("_hash"))
+    kept = rows.join(firsts, (rows._id == firsts._first_id) & (rows._hash == firsts._first_hash), "left_semi")
+    return kept.groupBy("_id", "_hash").agg(F.min("row").alias("row")).select("row.*")
