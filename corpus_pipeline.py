@@ -14,10 +14,8 @@ from trendloom.session import written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model of the trusted texts does not reject. An id goes if any of its rows is rejected."""
-    judged = perplexity.classify(docs, table(spark, sf_dir, "labels"))
-    rejected = written(judged.where("NOT kept").select("doc_id").distinct(), "rejected")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
+    """Documents that the language model of the trusted texts does not reject, each row by its own verdict."""
+    return perplexity.kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -284,6 +284,18 @@ def test_few_bad_texts_pass_and_clean_ones_stay(spark):
     assert kept[0][0] == 58 and kept[0][1] <= 3 and kept[1][1] >= 0.99 * kept[1][0]
 
 
+def test_each_row_goes_by_its_own_verdict(spark, make_docs, none):
+    labels = spark.createDataFrame([(i, 1) for i in range(10, 60)], "doc_id long, quality int")
+    rows = labelled_docs()[:65]
+    junk, clean = rows[60:65], rows[10:13]
+    rows += [(None, t, "en", "s", 1) for _, t, *_ in junk] + [(5, junk[0][1], "en", "s", 1), (None, clean[1][1], "en", "s", 1), (100, clean[1][1], "en", "s", 1)]
+    got = perplexity.kept_rows(make_docs(rows), labels, order=3)
+    bad = {t for _, t, *_ in junk}
+    assert got.columns == none.columns
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter(r[:2] for r in rows if r[1] not in bad)
+    assert perplexity.kept_rows(none, labels, order=3).count() == 0
+
+
 # --- distribution rules
 
 def base_by_brute_force(text):

@@ -20,7 +20,7 @@ from trendloom.session import written
 
 START = "\x02"  # stands before the first character; a text's own ones are treated alike
 _TABLE = 16_000_000
-_SCORED = "doc_id long, lang string, n_chars long, perplexity double"
+_SCORED = "doc_id long, lang string, text_hash long, n_chars long, perplexity double"
 
 
 def _shard(column: str, shards: int) -> Column:
@@ -28,7 +28,7 @@ def _shard(column: str, shards: int) -> Column:
 
 
 def packed(docs: DataFrame, shards: int, chars: int = 16_000_000) -> DataFrame:
-    """``shard, blob``: rows ``doc_id, lang, text`` of one shard, compressed together; a task holds so many characters."""
+    """``shard, blob``: rows ``doc_id, lang, text_hash, text`` of one shard, compressed together; a task holds so many characters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(tables):
             whole = pa.Table.from_batches(tables)
@@ -50,7 +50,7 @@ def packed(docs: DataFrame, shards: int, chars: int = 16_000_000) -> DataFrame:
         if held:
             yield from flush(held)
 
-    rows = docs.select(_shard("doc_id", shards).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    rows = docs.select(_shard("doc_id", shards).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text_hash", "text")
     return rows.mapInArrow(run, "shard int, blob binary")
 
 
@@ -177,13 +177,13 @@ def _score_broadcast(rows: DataFrame, logs: DataFrame, order: int) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = dict(zip(table.value[0], table.value[1].tolist()))
         for batch in short_batches(batches):
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             for a, b in slices(texts, 1_000_000):
                 values, lengths = _scores(texts[a:b], known, order)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lengths, type=pa.int64()),
-                                                  pa.array(values, type=pa.float64())], ["doc_id", "lang", "n_chars", "perplexity"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in range(3)], pa.array(lengths, type=pa.int64()),
+                                                  pa.array(values, type=pa.float64())], ["doc_id", "lang", "text_hash", "n_chars", "perplexity"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(score, _SCORED)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text_hash", "text").mapInArrow(score, _SCORED)
 
 
 def _score_by_shard(blobs: DataFrame, counts: DataFrame, logs: DataFrame, order: int) -> DataFrame:
@@ -191,24 +191,24 @@ def _score_by_shard(blobs: DataFrame, counts: DataFrame, logs: DataFrame, order:
     asked = counts.select("shard", "gram").join(logs, "gram").select("shard", "gram", "logp")
 
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known, found = dict(zip(right["gram"], right["logp"])), [pd.DataFrame({"doc_id": [], "lang": pd.Series(dtype=object), "n_chars": [], "perplexity": []})]
+        known, found = dict(zip(right["gram"], right["logp"])), [pd.DataFrame({"doc_id": [], "lang": pd.Series(dtype=object), "text_hash": pd.Series(dtype="int64"), "n_chars": [], "perplexity": []})]
         for part in _unpacked(left["blob"]):
             values, lengths = _scores(part["text"].tolist(), known, order)
-            found.append(pd.DataFrame({"doc_id": part["doc_id"], "lang": part["lang"], "n_chars": lengths, "perplexity": values}))
-        return pd.concat(found, ignore_index=True).astype({"doc_id": "Int64", "n_chars": "int64", "perplexity": "float64"})
+            found.append(pd.DataFrame({"doc_id": part["doc_id"], "lang": part["lang"], "text_hash": part["text_hash"], "n_chars": lengths, "perplexity": values}))
+        return pd.concat(found, ignore_index=True).astype({"doc_id": "Int64", "text_hash": "int64", "n_chars": "int64", "perplexity": "float64"})
 
     return blobs.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(score, _SCORED)
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 4, most_broadcast: int = 1_000_000, id_col: str = "doc_id",
                  text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``doc_id, lang, n_chars, perplexity`` of each row; ``trusted`` has the ``doc_id`` of the trusted texts.
+    """``doc_id, lang, text_hash, n_chars, perplexity`` of each row; ``trusted`` has the ``doc_id`` of the trusted texts.
 
     Null or empty text: null perplexity. Without trusted text all characters are alike. If there are at most ``most_broadcast`` distinct
     n-grams they go to every task, else each shard gets its own; results are the same.
     """
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).alias("text"))
     blobs = packed(rows, shards)
     good = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("shard", _shard("doc_id", shards))
     counts = written(shard_counts(blobs, good, order), "shard-grams")
@@ -227,6 +227,27 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float
     Null or empty texts have no perplexity and are kept. Null ids are never trusted; repeated rows are each judged, and a trusted one counts as
     often as it is there. Empty tables: no rows. Ids must be integers. Other columns are not used.
     """
+    return _judged(docs, labels, order, quantile, slack, min_trusted, min_chars, id_col, text_col, lang_col).drop("text_hash")
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.99, slack: float = 1.02, min_trusted: int = 20, min_chars: int = 50,
+              id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, each by its own verdict.
+
+    The key of a verdict is id, language and text, so null and repeated ids with other texts do not decide for each other.
+    """
+    judged = _judged(docs, labels, order, quantile, slack, min_trusted, min_chars, id_col, text_col, lang_col)
+    gone = judged.where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("lang").alias("_gone_lang"), F.col("text_hash").alias("_gone_hash"))
+    gone = written(gone.distinct(), "rejected")
+    # The rows travel as one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(text_of(text_col)).alias("_hash"))
+    same = (rows._hash == gone._gone_hash) & rows._id.eqNullSafe(gone._gone_id) & rows._lang.eqNullSafe(gone._gone_lang)
+    return rows.join(gone, same, "left_anti").select("row.*")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, order: int, quantile: float, slack: float, min_trusted: int, min_chars: int,
+            id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """What ``classify`` returns, and ``text_hash``."""
     trusted = labels.where(F.col("quality") == 1).select("doc_id").distinct()
     scored = written(perplexities(docs, trusted, order, id_col=id_col, text_col=text_col, lang_col=lang_col), "perplexities")
     own = scored.join(trusted, "doc_id", "left_semi").groupBy("lang").agg(
