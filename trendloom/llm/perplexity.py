@@ -20,15 +20,20 @@ from trendloom.session import written
 
 START = "\x02"  # stands before the first character; a text's own ones are treated alike
 _TABLE = 16_000_000
-_SCORED = "doc_id long, lang string, text_hash long, n_chars long, perplexity double"
+_SCORED = "doc_id long, lang string, text_hash long, n_chars long, perplexity double, held_out double"
 
 
 def _shard(column: str, shards: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(shards)).cast("int")
 
 
+def _held(column: str) -> Column:
+    """A quarter of the ids by hash. Thresholds come from its trusted texts, scored without them."""
+    return F.coalesce(F.pmod(F.xxhash64(F.lit(4), column), F.lit(4)) == 0, F.lit(False))
+
+
 def packed(docs: DataFrame, shards: int, chars: int = 16_000_000) -> DataFrame:
-    """``shard, blob``: rows ``doc_id, lang, text_hash, text`` of one shard, compressed together; a task holds so many characters."""
+    """``shard, blob``: rows ``doc_id, lang, text_hash, held, text`` of one shard, compressed together; a task holds so many characters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(tables):
             whole = pa.Table.from_batches(tables)
@@ -50,7 +55,7 @@ def packed(docs: DataFrame, shards: int, chars: int = 16_000_000) -> DataFrame:
         if held:
             yield from flush(held)
 
-    rows = docs.select(_shard("doc_id", shards).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text_hash", "text")
+    rows = docs.select(_shard("doc_id", shards).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text_hash", "held", "text")
     return rows.mapInArrow(run, "shard int, blob binary")
 
 
@@ -100,28 +105,37 @@ def ngrams(texts: list[str], order: int) -> tuple[np.ndarray, list[str], np.ndar
     return used, [names[d] for d in distinct.tolist()], lengths
 
 
-def _scores(texts: list[str], known: dict[str, float], order: int) -> tuple[list[float | None], list[int]]:
-    """Perplexities, null for empty texts, and lengths."""
+def _scores(texts: list[str], held: list[bool], known: dict[str, tuple[float, float]], order: int) -> tuple[list[float | None], list[float | None], list[int]]:
+    """Perplexities, null for empty texts; those without the held-out quarter, null for other texts; and lengths."""
     numbers, names, lengths = ngrams(texts, order)
-    logp = np.fromiter((known[g] for g in names), dtype=float, count=len(names))
-    sums = np.concatenate([[0.0], np.cumsum(logp[numbers])]) if len(names) else np.zeros(1)
-    ends = np.cumsum(lengths)
-    return [math.exp((sums[e - n] - sums[e]) / n) if n else None for e, n in zip(ends.tolist(), lengths.tolist())], lengths.tolist()
+    ends = np.cumsum(lengths).tolist()
+
+    def of(which: int, wanted: list[bool]) -> list[float | None]:
+        logp = np.fromiter((known[g][which] for g in names), dtype=float, count=len(names))
+        sums = np.concatenate([[0.0], np.cumsum(logp[numbers])]) if len(names) else np.zeros(1)
+        return [math.exp((sums[e - n] - sums[e]) / n) if n and w else None for e, n, w in zip(ends, lengths.tolist(), wanted)]
+
+    return of(0, [True] * len(texts)), of(1, held), lengths.tolist()
 
 
 def shard_counts(blobs: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
-    """``shard, gram, n``: a shard's distinct n-grams and their number in trusted texts, which may be 0."""
+    """``shard, gram, n, n_part``: a shard's distinct n-grams, their number in trusted texts, which may be 0, and in those not held out."""
     def count(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        good, total = set(right["doc_id"].tolist()), {}
+        good, part, total = set(right["doc_id"].tolist()), set(right["doc_id"][~right["held"]].tolist()), {}
         for docs in _unpacked(left["blob"]):
             numbers, names, lengths = ngrams(docs["text"].tolist(), order)
-            weight = np.repeat(np.array([i in good for i in docs["doc_id"].tolist()], dtype=float), lengths)
-            for g, n in zip(names, np.bincount(numbers, weights=weight, minlength=len(names)).astype(np.int64).tolist()):
-                total[g] = total.get(g, 0) + n
+            found = []
+            for ids in (good, part):
+                weight = np.repeat(np.array([i in ids for i in docs["doc_id"].tolist()], dtype=float), lengths)
+                found.append(np.bincount(numbers, weights=weight, minlength=len(names)).astype(np.int64).tolist())
+            for g, n, m in zip(names, *found):
+                before = total.get(g, (0, 0))
+                total[g] = before[0] + n, before[1] + m
         pa.default_memory_pool().release_unused()  # the worker stays alive for a while
-        return pd.DataFrame({"shard": np.int32(key[0]), "gram": pd.Series(list(total), dtype=object), "n": np.fromiter(total.values(), dtype=np.int64, count=len(total))})
+        n = np.array(list(total.values()), dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"shard": np.int32(key[0]), "gram": pd.Series(list(total), dtype=object), "n": n[:, 0], "n_part": n[:, 1]})
 
-    return blobs.groupBy("shard").cogroup(trusted.groupBy("shard")).applyInPandas(count, "shard int, gram string, n long")
+    return blobs.groupBy("shard").cogroup(trusted.groupBy("shard")).applyInPandas(count, "shard int, gram string, n long, n_part long")
 
 
 def _level(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,47 +186,48 @@ def log_probabilities(counts: DataFrame, order: int) -> DataFrame:
 def _score_broadcast(rows: DataFrame, logs: DataFrame, order: int) -> DataFrame:
     """For a table that is small enough to go to every task; texts stay where they are read."""
     found = logs.toPandas()
-    table = rows.sparkSession.sparkContext.broadcast((found["gram"].tolist(), found["logp"].to_numpy()))
+    table = rows.sparkSession.sparkContext.broadcast((found["gram"].tolist(), found["logp"].to_numpy(), found["logp_part"].to_numpy()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dict(zip(table.value[0], table.value[1].tolist()))
+        known = dict(zip(table.value[0], zip(table.value[1].tolist(), table.value[2].tolist())))
         for batch in short_batches(batches):
-            texts = batch.column(3).to_pylist()
+            texts, held = batch.column(4).to_pylist(), batch.column(3).to_pylist()
             for a, b in slices(texts, 1_000_000):
-                values, lengths = _scores(texts[a:b], known, order)
+                values, apart, lengths = _scores(texts[a:b], held[a:b], known, order)
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in range(3)], pa.array(lengths, type=pa.int64()),
-                                                  pa.array(values, type=pa.float64())], ["doc_id", "lang", "text_hash", "n_chars", "perplexity"])
+                                                  pa.array(values, type=pa.float64()), pa.array(apart, type=pa.float64())], ["doc_id", "lang", "text_hash", "n_chars", "perplexity", "held_out"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text_hash", "text").mapInArrow(score, _SCORED)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text_hash", "held", "text").mapInArrow(score, _SCORED)
 
 
 def _score_by_shard(blobs: DataFrame, counts: DataFrame, logs: DataFrame, order: int) -> DataFrame:
     """For a table of any size: each shard is joined with the n-grams it has."""
-    asked = counts.select("shard", "gram").join(logs, "gram").select("shard", "gram", "logp")
+    asked = counts.select("shard", "gram").join(logs, "gram").select("shard", "gram", "logp", "logp_part")
 
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known, found = dict(zip(right["gram"], right["logp"])), [pd.DataFrame({"doc_id": [], "lang": pd.Series(dtype=object), "text_hash": pd.Series(dtype="int64"), "n_chars": [], "perplexity": []})]
+        known, found = dict(zip(right["gram"], zip(right["logp"], right["logp_part"]))), [pd.DataFrame({"doc_id": [], "lang": pd.Series(dtype=object), "text_hash": pd.Series(dtype="int64"), "n_chars": [], "perplexity": [], "held_out": []})]
         for part in _unpacked(left["blob"]):
-            values, lengths = _scores(part["text"].tolist(), known, order)
-            found.append(pd.DataFrame({"doc_id": part["doc_id"], "lang": part["lang"], "text_hash": part["text_hash"], "n_chars": lengths, "perplexity": values}))
-        return pd.concat(found, ignore_index=True).astype({"doc_id": "Int64", "text_hash": "int64", "n_chars": "int64", "perplexity": "float64"})
+            values, apart, lengths = _scores(part["text"].tolist(), part["held"].tolist(), known, order)
+            found.append(pd.DataFrame({"doc_id": part["doc_id"], "lang": part["lang"], "text_hash": part["text_hash"], "n_chars": lengths, "perplexity": values, "held_out": apart}))
+        return pd.concat(found, ignore_index=True).astype({"doc_id": "Int64", "text_hash": "int64", "n_chars": "int64", "perplexity": "float64", "held_out": "float64"})
 
     return blobs.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(score, _SCORED)
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 4, most_broadcast: int = 1_000_000, id_col: str = "doc_id",
                  text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``doc_id, lang, text_hash, n_chars, perplexity`` of each row; ``trusted`` has the ``doc_id`` of the trusted texts.
+    """``doc_id, lang, text_hash, n_chars, perplexity, held_out`` of each row; ``trusted`` has the ``doc_id`` of the trusted texts.
 
-    Null or empty text: null perplexity. Without trusted text all characters are alike. If there are at most ``most_broadcast`` distinct
+    ``held_out`` is the perplexity under the trusted texts outside the held-out quarter, for rows inside it. Null or empty text: null perplexity. Without trusted text all characters are alike. If there are at most ``most_broadcast`` distinct
     n-grams they go to every task, else each shard gets its own; results are the same.
     """
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(text_of(text_col)).alias("text_hash"), _held(id_col).alias("held"), text_of(text_col).alias("text"))
     blobs = packed(rows, shards)
-    good = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("shard", _shard("doc_id", shards))
+    good = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumns({"shard": _shard("doc_id", shards), "held": _held("doc_id")})
     counts = written(shard_counts(blobs, good, order), "shard-grams")
-    logs = written(log_probabilities(counts.select("gram", "n"), order), "log-probabilities")
+    whole, part = (log_probabilities(counts.select("gram", F.col(n).alias("n")), order) for n in ("n", "n_part"))
+    logs = written(whole.join(part.withColumnRenamed("logp", "logp_part"), "gram"), "log-probabilities")
     if logs.count() <= most_broadcast:
         return _score_broadcast(rows, logs, order)
     return _score_by_shard(blobs, counts, logs, order)
@@ -222,8 +237,9 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float
              id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, lang, n_chars, perplexity, threshold, kept`` for each row of ``docs``.
 
-    Trusted texts are all those labelled ``quality`` 1. A language's threshold is ``slack`` times the quantile of its trusted texts' perplexities; a
-    text of ``min_chars`` characters or more above it is rejected. Languages (null is one) with fewer than ``min_trusted`` trusted texts have no threshold and keep all.
+    Trusted texts are all those labelled ``quality`` 1. A language's threshold is ``slack`` times the quantile of the perplexities of its trusted texts of
+    ``min_chars`` characters or more: those of a quarter under a model without that quarter, as texts that trained the model look better than
+    others, or of all if that is higher. A text of ``min_chars`` characters or more above it is rejected. Languages (null is one) with fewer than ``min_trusted`` trusted texts have no threshold and keep all.
     Null or empty texts have no perplexity and are kept. Null ids are never trusted; repeated rows are each judged, and a trusted one counts as
     often as it is there. Empty tables: no rows. Ids must be integers. Other columns are not used.
     """
@@ -250,8 +266,9 @@ def _judged(docs: DataFrame, labels: DataFrame, order: int, quantile: float, sla
     """What ``classify`` returns, and ``text_hash``."""
     trusted = labels.where(F.col("quality") == 1).select("doc_id").distinct()
     scored = written(perplexities(docs, trusted, order, id_col=id_col, text_col=text_col, lang_col=lang_col), "perplexities")
-    own = scored.join(trusted, "doc_id", "left_semi").groupBy("lang").agg(
-        F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("_q"), F.count("perplexity").alias("_n"))
+    judged = F.col("n_chars") >= min_chars
+    limit = lambda c: F.percentile_approx(F.when(judged, F.col(c)), F.lit(quantile), F.lit(10_000))
+    own = scored.join(trusted, "doc_id", "left_semi").groupBy("lang").agg(F.greatest(limit("held_out"), limit("perplexity")).alias("_q"), F.count("perplexity").alias("_n"))
     limits = own.where(F.col("_n") >= min_trusted).select(F.col("lang").alias("_lang"), (F.col("_q") * slack).alias("threshold"))
     limits = written(limits, "thresholds")  # one row a language; Catalyst knows the size
     judged = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
