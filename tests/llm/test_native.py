@@ -1,6 +1,7 @@
 """Fingerprints, tool calls, line dedup, personal data, mixing."""
 
 import hashlib
+import json
 import re
 
 import pytest
@@ -208,6 +209,20 @@ def test_links_order_and_errors(spark):
     assert '"arguments":{"target":"é\\n","text":null}' in got["nul"].canonical
 
 
+def test_ids_that_recur_keep_all_their_rows(spark):
+    ok = '{"limit": 3, "query": "q"}'
+    calls = [(c, 1, "call_0", "search", ok, []) for c in (1, 2, 3, None)] + [(c, 2, "call_1", "search", ok, ["call_0"]) for c in (1, 2)]
+    calls += [(1, 3, "call_0", "dance", "{}", []), (2, 4, None, "search", ok, []), (2, 5, None, "search", ok, []), (4, 1, "call_1", "search", ok, ["call_0"])]
+    results = [(c, "call_0", 2, f"of {c}") for c in (1, 2, None)] + [(2, "call_0", 3, "again"), (2, None, 6, "lost"), (5, "call_0", 1, "orphan")]
+    rows = toolcalls.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, "conv_id long, call_id string, seq long, content string"), toolcalls.TOOLS)
+    got = sorted(((r.conv_id or 0, r.call_id or "", r.seq or 0, r.status, r.n_calls, r.n_results, r.order_key, json.loads(r.canonical)["result"]) for r in rows.collect()), key=str)
+    want = [(0, "call_0", 1, "linked", 1, 1, 1, "of None"), (1, "call_0", 1, "linked", 2, 1, 1, "of 1"), (1, "call_0", 3, "duplicate_call", 1, 0, None, None),
+            (1, "call_1", 2, "no_result", 1, 0, 2, None), (2, "", 4, "no_id", 1, 0, None, None), (2, "", 5, "no_id", 1, 0, None, None), (2, "", 6, "no_id", 0, 1, None, "lost"),
+            (2, "call_0", 1, "linked", 1, 2, 1, "of 2"), (2, "call_0", 3, "duplicate_result", 0, 1, None, "again"), (2, "call_1", 2, "no_result", 1, 0, 2, None),
+            (3, "call_0", 1, "no_result", 1, 0, 1, None), (4, "call_1", 1, "missing_need", 1, 0, 1, None), (5, "call_0", 0, "orphan_result", 0, 1, None, "orphan")]
+    assert got == sorted(want, key=str)
+
+
 def test_no_calls(spark):
     assert link(spark, [], []) == {}
     assert [r.status for r in link(spark, [], [("a", 1, "x")]).values()] == ["orphan_result"]

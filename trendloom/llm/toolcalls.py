@@ -72,22 +72,19 @@ def topological(calls: DataFrame, edges: DataFrame) -> DataFrame:
     return calls.select("call_id").join(placed, "call_id", "left")
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
-    """``calls`` (conv_id, seq, call_id, name, arguments, needs) with ``results`` (call_id, seq, content): one row an id.
+def _line(call_id: Column) -> Column:
+    return F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), call_id.alias("call_id"), F.col("name"), F.col("content").alias("result")),
+                     {"ignoreNullFields": "false"})
 
-    Returns ``conv_id, call_id, seq, name, status, errors, n_calls, n_results, order_key, order_depth, canonical``. Status: ``linked``, ``no_result``,
-    ``orphan_result`` for results of no call, ``missing_need`` if a needed id is no call. Of calls that repeat an id the first by seq stands,
-    and of results the first by seq; both are counted, and reduced on the map side, so an id of a third of all rows does no
-    harm to the join. Rows with null ids cannot be linked and are left out. Within a conversation (order_key, order_depth) sorts calls after
-    what they need; it is null in a cycle, and for orphans. Null names or arguments fail their schema. Empty tables: no rows. Other
-    columns are not used.
-    """
-    fields = ["seq", "conv_id", "name", "arguments", "needs"]
+
+def _linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]], shown=lambda call_id: call_id, row: tuple[str, ...] = ()) -> DataFrame:
+    """One row an id. ``row`` names a column of row numbers: the call's is returned, and the result's as ``_result_row``."""
+    fields = ["seq", "conv_id", "name", "arguments", "needs", *row]
     one = calls.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.min(F.struct(*fields)).alias("c"), F.count(F.lit(1)).alias("n_calls"))
     one = written(one.select("call_id", "c.*", "n_calls"), "calls")
     answers = results.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(
-        F.min(F.struct("seq", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
-    answers = answers.select("call_id", F.col("r.content").alias("content"), "n_results")
+        F.min(F.struct("seq", "content", *row)).alias("r"), F.count(F.lit(1)).alias("n_results"))
+    answers = answers.select("call_id", F.col("r.content").alias("content"), "n_results", *[F.col(f"r.{c}").alias("_result_row") for c in row])
 
     edges = one.select("call_id", F.explode("needs").alias("need"))
     known = one.select(F.col("call_id").alias("need"))
@@ -97,12 +94,62 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str
     both = one.join(answers.hint("shuffle_hash"), "call_id", "full").join(order, "call_id", "left").join(lacking, "call_id", "left")
     status = (F.when(F.col("n_calls").isNull(), "orphan_result").when(F.col("_lacks"), "missing_need")
               .when(F.col("n_results").isNull(), "no_result").otherwise("linked"))
-    line = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id"), F.col("name"), F.col("content").alias("result")),
-                     {"ignoreNullFields": "false"})
+    line = _line(shown(F.col("call_id")))
     errors = F.when(F.col("n_calls").isNotNull(), F.concat_ws(",", schema_errors(F.col("name"), F.col("arguments"), schemas)))
     return both.select("conv_id", "call_id", "seq", "name", status.alias("status"), errors.alias("errors"),
                        F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"),
-                       "order_key", "order_depth", line.alias("canonical"))
+                       "order_key", "order_depth", line.alias("canonical"), *row, *["_result_row" for _ in row])
+
+
+def _key(conv_id: Column, call_id: Column) -> Column:
+    """Conversation and id as one text, which ``_conversation`` and ``_id_of`` take apart; null for a null id."""
+    conv = conv_id.cast("string")
+    return F.concat(F.coalesce(F.concat(F.char_length(conv).cast("string"), F.lit(":"), conv), F.lit("-:")), call_id)
+
+
+def _conversation(key: Column) -> Column:
+    head = F.substring_index(key, ":", 1)
+    return F.substring(key, F.char_length(head) + 2, head.try_cast("int"))
+
+
+def _id_of(key: Column) -> Column:
+    head = F.substring_index(key, ":", 1)
+    return F.substring(key, F.char_length(head) + 2 + F.coalesce(head.try_cast("int"), F.lit(0)), F.char_length(key))
+
+
+def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+    """``calls`` (conv_id, seq, call_id, name, arguments, needs) with ``results`` (call_id, seq, content, and conv_id unless ids are unique).
+
+    Returns ``conv_id, call_id, seq, name, status, errors, n_calls, n_results, order_key, order_depth, canonical``. Status: ``linked``, ``no_result``,
+    ``orphan_result`` for results of no call, ``missing_need`` if a needed id is no call. Of calls that repeat an id the first by seq stands,
+    and of results the first by seq; both are counted, and reduced on the map side, so an id of a third of all rows does no
+    harm to the join. Without ``conv_id`` in ``results`` ids stand alone: one row an id, and rows with null ids are left out.
+
+    With it, calls, needs and results meet by (conv_id, call_id), a null conversation being one of its own, and no row is left out: the other calls of a
+    repeated id follow as ``duplicate_call``, its other results as ``duplicate_result``, and rows with a null id as ``no_id``. These are not linked:
+    they count themselves only, calls are checked against their schema, and their place is null; n_calls and n_results of the first row count all. Within a conversation (order_key, order_depth) sorts calls after
+    what they need; it is null in a cycle, and for orphans. Null names or arguments fail their schema. Empty tables: no rows. Other
+    columns are not used.
+    """
+    if "conv_id" not in results.columns:
+        return _linked(calls, results, schemas)
+    # Numbered once and written, so that a row can be told from its repetitions without a join on the id.
+    calls = written(calls.select("conv_id", "seq", "call_id", "name", "arguments", "needs", F.monotonically_increasing_id().alias("_row")), "all-calls")
+    results = written(results.select("conv_id", "seq", "call_id", "content", F.monotonically_increasing_id().alias("_row")), "all-results")
+    key = _key(F.col("conv_id"), F.col("call_id"))
+    needs = F.transform("needs", lambda n: _key(F.col("conv_id"), n))
+    linked = written(_linked(calls.withColumns({"call_id": key, "needs": needs}), results.withColumn("call_id", key), schemas, _id_of, ("_row",)), "linked")
+    first = linked.withColumns({"conv_id": _conversation(F.col("call_id")).cast(calls.schema["conv_id"].dataType), "call_id": _id_of(F.col("call_id"))})
+    other = lambda rows, at: rows.join(linked.select(F.col(at).alias("_row")).where("_row IS NOT NULL"), "_row", "left_anti")
+    left_calls = other(calls, "_row").withColumns({"content": F.lit(None).cast("string"), "_call": F.lit(True)})
+    left_results = other(results, "_result_row").withColumns({"name": F.lit(None).cast("string"), "arguments": F.lit(None).cast("string"), "_call": F.lit(False)})
+    rest = left_calls.drop("needs").unionByName(left_results)
+    status = F.when(F.col("call_id").isNull(), "no_id").when(F.col("_call"), "duplicate_call").otherwise("duplicate_result")
+    errors = F.when(F.col("_call"), F.concat_ws(",", schema_errors(F.col("name"), F.col("arguments"), schemas)))
+    nowhere = F.lit(None).cast("long")
+    rest = rest.select("conv_id", "call_id", "seq", "name", status.alias("status"), errors.alias("errors"), F.col("_call").cast("long").alias("n_calls"),
+                       (~F.col("_call")).cast("long").alias("n_results"), nowhere.alias("order_key"), nowhere.alias("order_depth"), _line(F.col("call_id")).alias("canonical"))
+    return first.drop("_row", "_result_row").unionByName(rest)
 
 
 #: The tools that turns of plain conversations are read as calls of.
