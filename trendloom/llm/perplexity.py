@@ -32,7 +32,7 @@ def _held(column: str) -> Column:
     return F.coalesce(F.pmod(F.xxhash64(F.lit(4), column), F.lit(4)) == 0, F.lit(False))
 
 
-def packed(docs: DataFrame, shards: int, chars: int = 16_000_000) -> DataFrame:
+def packed(docs: DataFrame, shards: int, chars: int = 8_000_000) -> DataFrame:
     """``shard, blob``: rows ``doc_id, lang, text_hash, held, text`` of one shard, compressed together; a task holds so many characters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(tables):
@@ -59,7 +59,7 @@ def packed(docs: DataFrame, shards: int, chars: int = 16_000_000) -> DataFrame:
     return rows.mapInArrow(run, "shard int, blob binary")
 
 
-def _unpacked(blobs, chars: int = 1_500_000) -> Iterator[pd.DataFrame]:
+def _unpacked(blobs, chars: int = 500_000) -> Iterator[pd.DataFrame]:
     held, size = [], 0
     for blob in blobs:
         held.append(pa.ipc.open_stream(blob).read_all().to_pandas())
@@ -192,7 +192,7 @@ def _score_broadcast(rows: DataFrame, logs: DataFrame, order: int) -> DataFrame:
         known = dict(zip(table.value[0], zip(table.value[1].tolist(), table.value[2].tolist())))
         for batch in short_batches(batches):
             texts, held = batch.column(4).to_pylist(), batch.column(3).to_pylist()
-            for a, b in slices(texts, 1_000_000):
+            for a, b in slices(texts, 500_000):
                 values, apart, lengths = _scores(texts[a:b], held[a:b], known, order)
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in range(3)], pa.array(lengths, type=pa.int64()),
                                                   pa.array(values, type=pa.float64()), pa.array(apart, type=pa.float64())], ["doc_id", "lang", "text_hash", "n_chars", "perplexity", "held_out"])
