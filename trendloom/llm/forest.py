@@ -1,7 +1,7 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by MinHash banding, with exact verification.
 
-Each text has one path of smallest hashes in each of several prefix tries. Two texts are compared if they share a trie node at the
-depth to which the recall wanted lets prefixes be shortened. Texts of equal words are one node of the graph from the start. Texts that
+Each text has one path of smallest hashes in each of several trees. Two texts are compared if they share a whole path, called a trie node here; its
+length is fixed, the longest that meets the recall wanted at the threshold. No trie is sorted, and no prefix is shortened for a single text. Texts of equal words are one node of the graph from the start. Texts that
 share trie nodes, directly or through others, make a candidate group; groups are cut into blocks, and each pair of blocks
 is one unit of work that counts common shingles for all its pairs and gives back sums by text and a spanning forest, never pairs.
 """
