@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trendloom.llm import bpe, divergence, fingerprint, forest, idfiles, linededup, mixing, perplexity, pii, toolcalls
+from trendloom.llm import (bpe, decontaminate, divergence, fingerprint, forest, idfiles, linededup, mixing, perplexity, pii, sourceaudit,
+                           toolcalls, vantage)
 from trendloom.llm.common import documents, table
 from trendloom.plans.registry import Registry
 
@@ -170,3 +171,85 @@ def op2_tool_calls(spark, sf_dir):
     """All turns of all conversations read as tool calls and results: linked, ordered, checked and in canonical JSON."""
     calls, results = toolcalls.turns_as_calls(table(spark, sf_dir, "conversations"))
     return toolcalls.link_calls(calls, results, toolcalls.TOOLS)
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    def assigned(r: int) -> str:
+        return f"""a{r} AS MATERIALIZED (SELECT * FROM (SELECT vec_id, k, sum((x - c) * (x - c))::BIGINT AS d FROM v JOIN c{r} USING (i) GROUP BY vec_id, k)
+      QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)"""
+
+    def moved(r: int) -> str:
+        return f"""s{r} AS (SELECT k, i, sum(x)::HUGEINT AS s, count(*) AS n FROM a{r} JOIN v USING (vec_id) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT k, i, coalesce((s - ((s % n) + n) % n) // n, c)::BIGINT AS c FROM c{r} LEFT JOIN s{r} USING (k, i))"""
+
+    steps = ",\n".join(f"{assigned(r)},\n{moved(r)}" for r in range(rounds))
+    return f"""WITH kept AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64
+  AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+v AS MATERIALIZED (SELECT vec_id, unnest(generate_series(1, 64)) AS i, floor(256 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM kept),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k FROM kept ORDER BY k LIMIT {k}),
+c0 AS MATERIALIZED (SELECT k, i, x AS c FROM first JOIN v USING (vec_id)),
+{steps},
+{assigned(rounds)},
+inertia AS (SELECT k, sum(d)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY k),
+marks AS (SELECT k, sha256(string_agg(c::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, cluster_inertia, (SELECT sum(d)::BIGINT FROM a{rounds}) AS inertia, centroid_sha256
+FROM a{rounds} JOIN inertia USING (k) JOIN marks USING (k)"""
+
+
+@REG.query("op11_centroid_clusters", _clusters_sql())
+def op11_centroid_clusters(spark, sf_dir):
+    """Every usable embedding with its centroid after five rounds from 40 hashed starts."""
+    return vantage.report(*vantage.cluster(table(spark, sf_dir, "embeddings")))
+
+
+_ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+CONTAMINATION_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bl AS (SELECT *, least(len(w), 10) AS l FROM b WHERE len(w) > 0),
+bs AS (SELECT item_id, l, w, unnest(generate_series(1, len(w) - l + 1)) AS s FROM bl),
+grams AS (SELECT DISTINCT item_id, l, array_to_string(w[s:s + l - 1], ' ') AS gram FROM bs),
+ds AS (SELECT rid, l, w, unnest(generate_series(1, len(w) - l + 1)) AS s FROM d, (SELECT DISTINCT l FROM grams) WHERE len(w) >= l),
+hits AS (SELECT rid, s, l, item_id FROM (SELECT rid, s, l, array_to_string(w[s:s + l - 1], ' ') AS gram FROM ds) JOIN grams USING (l, gram)),
+hit_words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(s, s + l - 1)) AS p FROM hits) GROUP BY rid),
+hit_items AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
+"""
+
+
+@REG.query("op12_decontamination", CONTAMINATION_SQL)
+def op12_decontamination(spark, sf_dir):
+    """Every document's words that lie in ten consecutive words of a benchmark item, and the items."""
+    return decontaminate.digests(decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
+
+
+AUDIT_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {_ASCII}) AS t FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+cnt AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+n AS MATERIALIZED (SELECT g.lang, g.source, coalesce(sum(c), 0)::HUGEINT + coalesce(any_value(v), 0) AS size
+      FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN cnt USING (lang, source) LEFT JOIN v ON v.lang = g.lang GROUP BY ALL),
+p AS MATERIALIZED (SELECT n.lang, n.source, k.term, coalesce(c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c, 0) + 1) // size AS p
+      FROM n JOIN kept k ON k.lang = n.lang LEFT JOIN cnt ON cnt.lang = n.lang AND cnt.source = n.source AND cnt.term = k.term),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(c) + 1) // (sum(sum(c)) OVER (PARTITION BY lang) + v) AS q FROM cnt JOIN v USING (lang) GROUP BY lang, term, v),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+          FROM n a JOIN n b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+tops AS (SELECT p.lang, p.source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM tops))
+WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@REG.query("op13_source_audit", AUDIT_SQL)
+def op13_source_audit(spark, sf_dir):
+    """Divergence of every two sources of a language, and each source's 200 most excessive terms."""
+    return sourceaudit.source_audit(documents(spark, sf_dir))
