@@ -162,13 +162,6 @@ def test_join_of_nothing(none):
     assert forest.near_duplicates(none).count() == 0
 
 
-def test_first_of_each_class(odd):
-    kept = forest.first_of_each_class(odd, forest.near_duplicates(odd))
-    assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert len(ids) == len(set(ids)) and 5 not in ids and 1 in ids and 4 in ids
-
-
 def test_one_of_each_class_by_content(make_docs):
     other, third = "a quite different text of the same id, and not short", "one more text that has no id at all"
     near = [" ".join("new" if i == k else f"w{i}" for i in range(120)) for k in (30, 60, 90)]

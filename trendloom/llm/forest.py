@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from trendloom.llm.common import NO_ID, id_key, text_of
 from trendloom.llm.components import components
-from trendloom.llm.pieces import slices
+from trendloom.llm.pieces import short_batches, slices
 from trendloom.llm.shingles import MinHash, sequence_keys, shingle_lists, shingle_sets
 from trendloom.session import written
 
+_CHARS = 400_000  # of the texts that a worker takes apart at a time
+
 
 def prefix_length(trees: int, depth: int, similarity: float, recall: float) -> int:
     """The longest prefix at which a pair of that similarity meets in some tree with probability ``recall``."""
@@ -31,9 +33,9 @@ def _signed(docs: DataFrame, trees: int, length: int, words: int) -> DataFrame:
     """``_id, _hash, node, paths``: the key of a text's words, and its trie nodes, none for a text without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = MinHash(trees, length)
-        for batch in batches:
+        for batch in short_batches(batches):
             texts = batch.column(2).to_pylist()
-            for a, b in slices(texts, 4_000_000):
+            for a, b in slices(texts, _CHARS):
                 sets = shingle_lists(texts[a:b], words)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 paths: list = [[]] * (b - a)
@@ -44,6 +46,7 @@ def _signed(docs: DataFrame, trees: int, length: int, words: int) -> DataFrame:
                         paths[i] = row
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sequence_keys(texts[a:b]), type=pa.binary()),
                                                   pa.array(paths, type=pa.list_(pa.int64()))], ["_id", "_hash", "node", "paths"])
+        pa.default_memory_pool().release_unused()  # the worker stays alive for a while
 
     return docs.select("_id", "_hash", "_text").mapInArrow(run, "_id long, _hash long, node binary, paths array<long>")
 
@@ -51,12 +54,13 @@ def _signed(docs: DataFrame, trees: int, length: int, words: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """``node, shingles`` of the wanted nodes, from the text of their first document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short_batches(batches):
             texts, nodes = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for a, b in slices(texts, 4_000_000):
+            for a, b in slices(texts, _CHARS):
                 found = [(n, s.tobytes()) for n, k, s in zip(nodes[a:b], sequence_keys(texts[a:b]), shingle_sets(texts[a:b], words)) if n == k]
                 columns = list(zip(*found)) or [(), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary()) for c in columns], ["node", "shingles"])
+        pa.default_memory_pool().release_unused()  # the worker stays alive for a while
 
     rows = docs.join(wanted.withColumnRenamed("first_id", "_id"), "_id").select("node", "_text")
     return rows.mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
@@ -170,12 +174,6 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, tr
     return signed.join(named, "node").select(whole("_id").alias("doc_id"), whole("class_id").alias("class_id"), "n_links", "n_copies")
 
 
-def first_of_each_class(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is their class's; of rows that repeat an id, one."""
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates([id_col])
-
-
 def one_of_each_class(docs: DataFrame, similarity: float = 0.8, words: int = 5, trees: int = 24, depth: int = 7, recall: float = 0.999,
                       block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class of ``near_duplicates``, whatever its id: that of the smallest id, then of the smallest key of the words.

@@ -21,18 +21,26 @@ def _inverse(odd: int) -> int:
     return pow(odd, -1, 1 << 64)
 
 
+_KEPT = 1 << 19
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse, at least ``n``; kept by the worker."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = []
-        for base in (int(_ODD), _inverse(int(_ODD))):
-            p = np.full(max(n, 1 << 16), np.uint64(base), dtype=np.uint64)
-            p[0] = 1
-            _POWERS.append(np.cumprod(p, dtype=np.uint64))
-    return _POWERS[0], _POWERS[1]
+def _series(n: int) -> list[np.ndarray]:
+    out = []
+    for base in (int(_ODD), _inverse(int(_ODD))):
+        p = np.full(n, np.uint64(base), dtype=np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the odd base and of its inverse, at least ``n``. The worker keeps the first ones; for a longer text more are made anew."""
+    if n > _KEPT:
+        return _series(n)
+    if not _POWERS:
+        _POWERS[:] = _series(_KEPT)
+    return _POWERS
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
