@@ -208,3 +208,74 @@ def test_old_originals_unlabelled_posts_and_bad_lines_are_not_lost(spark, places
     assert {"1", "3", "50"} <= set(got) and "4" not in got
     assert got["50"].created_at == T0 - timedelta(hours=1) and got["50"].assignment_time == T0 + timedelta(minutes=1)
     assert [(r.value, r.reason) for r in spark.read.parquet(f"{base}/quarantine").collect()] == [(lines[-1], "corrupt")]
+
+
+def folders(base, table):
+    import os
+    path = f"{base}/{table}".removeprefix("file:")
+    return sorted(n for n in os.listdir(path) if n.startswith("v=")) if os.path.exists(path) else []
+
+
+def test_state_is_compacted_and_old_versions_go(spark, places, monkeypatch):
+    """Many small batches equal one, with every second batch merging the deltas, and neither versions nor scratch tables pile up."""
+    import os
+
+    from trendloom import session
+    folder, base = places
+    rows = [record(i, t, T0 + timedelta(minutes=i)) for i, t in enumerate(texts(3, "a") + texts(3, "a") + texts(2, "b"))]
+    whole = scratch_dir(spark, "whole")
+    add(spark, whole, rows)
+    want = stored(run(spark, whole, scratch_dir(spark, "out"), retire_inactive=False, summaries=False))
+    scratch = os.path.join(session.scratch_root(spark).removeprefix("file:"), "trendloom")
+    left = []
+    for k in range(0, 8, 2):
+        add(spark, folder, rows[k:k + 2])
+        job = run(spark, folder, base, retire_inactive=False, summaries=False, compact_every=2)
+        left.append(len(os.listdir(scratch)))
+    assert stored(job) == want
+    assert len(set(left)) == 1                                   # no scratch table outlives its batch
+    assert len(folders(base, "clusters")) == len(folders(base, "progress")) == 2
+    assert all(len(folders(base, t)) <= 3 and len(folders(base, f"{t}-base")) <= 2 for t in ("seen", "token_sets", "token_index", "cluster_terms", "activity"))
+
+
+def test_batches_do_not_read_stored_texts(spark, places):
+    """With the stored texts taken away, the next batch still finds ids, near-duplicates and clusters."""
+    folder, base = places
+    add(spark, folder, [record(i, t, T0 + timedelta(seconds=i)) for i, t in enumerate(texts(4, "a"))])
+    run(spark, folder, base, retire_inactive=False, summaries=False)
+    import shutil
+    shutil.move(f"{base}/posts".removeprefix("file:"), f"{base}/elsewhere".removeprefix("file:"))
+    add(spark, folder, [record(9, texts(4, "a")[1] + " !", T0 + timedelta(minutes=1)), record(2, "an id seen before with other words", T0 + timedelta(minutes=1)),
+                        record(10, "something new to be stored here", T0 + timedelta(minutes=1))])
+    job = run(spark, folder, base, retire_inactive=False, summaries=False)
+    assert set(stored(job)) == {"10"}
+
+
+def test_restore_without_state(spark, places):
+    """Posts are there, all state is gone: expired posts go to the history, the rest is clustered anew, and the stream goes on."""
+    import glob
+    import shutil
+
+    from trendloom.operators import clustering as C
+    folder, base = places
+    add(spark, folder, [record(1, "an old story about trains in wales", T0 - timedelta(minutes=40))]
+        + [record(10 + i, t, T0 + timedelta(seconds=i)) for i, t in enumerate(texts(3, "a") + texts(3, "b"))])
+    job = run(spark, folder, base, retire_inactive=False, summaries=False)
+    before = stored(job)
+    lost = scratch_dir(spark, "lost").removeprefix("file:")
+    for path in glob.glob(f"{base}/*".removeprefix("file:")):
+        if not path.endswith(("/posts", "/checkpoint")):
+            shutil.move(path, f"{lost}/{path.rsplit('/', 1)[1]}")
+    job = Ingest(spark, base, cfg=CFG, retire_inactive=False, summaries=False)
+    assert job.state_lost()
+    job.restore()
+    assert not job.state_lost() and stored(job) == before
+    recent = job.recent_posts().select("post_id", "preprocessed_text", "cluster_id", "epoch", F.col("assignment_time").alias("created_at"))
+    assert {r.post_id for r in job.history_posts().collect()} == {"1"}
+    want = {r.post_id: r.cluster_id for r in C.recluster(recent, "epoch", cfg=CFG)[0].collect()}
+    assert {r.post_id: r.cluster_id for r in recent.collect()} == want and len(want) == 6
+    counts = {r.cluster_id: r.post_count for r in job.clusters().collect()}
+    assert counts == {c: list(want.values()).count(c) for c in want.values()}
+    add(spark, folder, [record(30, texts(3, "a")[0] + " !", T0 + timedelta(minutes=1)), record(31, "a wholly new story to tell here", T0 + timedelta(minutes=1))])
+    job = run(spark, folder, base, retire_inactive=False, summaries=False)
+    assert set(stored(job)) == set(before) | {"31"}

@@ -2,7 +2,9 @@
 
 import re
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,32 @@ def scratch_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_scopes = threading.local()
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/trendloom/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/trendloom/{label}-{uuid.uuid4().hex}"
+    if getattr(_scopes, "paths", None) is not None:
+        _scopes.paths.append(path)
+    return path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of this job, in whatever store they are."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch folders that this thread names inside are removed at the end, also after a failure. What is read from them must be used up by then."""
+    outer, _scopes.paths = getattr(_scopes, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _scopes.paths = _scopes.paths, outer
+        remove(spark, *paths)
 
 
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
