@@ -1,8 +1,10 @@
 """Registered queries for near-duplicates, vectors, clusters, summaries and languages."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from trendloom.functions import language, lexicon as L, minhash as M
+from trendloom.functions import language, lexicon as L, minhash as M, text as X
 from trendloom.operators import clustering, filters, neardup, retention, summary, trends, vectors
 from trendloom.plans import inputs as I
 from trendloom.plans.registry import Registry
@@ -33,7 +35,9 @@ KEPT = f"{EDGES}, {I.greedy_sql('edges', 'arrivals')}"
 @REG.query("minhash_signature", f"""WITH {I.POSTS}, {SIGNATURES}
 SELECT post_id, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY i) AS signature FROM sig GROUP BY post_id""")
 def minhash_signature(spark, sf):
-    signed = neardup.signatures(I.posts(spark, sf), NUM_PERM).filter(F.col("signature").isNotNull())
+    # Texts without tokens have no signature; a filter on the signature itself would compute it twice.
+    filled = I.posts(spark, sf).filter(F.size(X.dedup_tokens(F.col("preprocessed_text"))) > 0)
+    signed = neardup.signatures(filled, NUM_PERM)
     return signed.select("post_id", F.array_join(F.col("signature").cast("array<string>"), " ").alias("signature"))
 
 
@@ -162,12 +166,46 @@ def open_clusters(spark, sf):
             .select("post_id", F.col("_l").alias("leader"), F.round("distance", 4).alias("distance")))
 
 
-@REG.query("recluster")
+def _recluster_sql(slices: int = 12) -> str:
+    """The slices one after another, each on the centroids that the ones before left."""
+    steps = []
+    for k in range(slices):
+        greedy = re.sub(r"\b(linked|steps|walk|dropped)\b", rf"\g<1>{k}", I.greedy_sql(f"e{k}", f"u{k}"))
+        if k:
+            steps.append(f"""len{k} AS (SELECT scope, cluster_id, sqrt(sum(weight * weight)) AS length FROM state{k} GROUP BY ALL),
+dist{k} AS (SELECT scope, v.post_id, c.cluster_id, round(1 - sum(v.w * c.weight / l.length), 9) + 0.0 AS distance FROM vec v
+  JOIN (FROM b WHERE k = {k}) n USING (post_id) JOIN state{k} c USING (scope, term) JOIN len{k} l USING (scope, cluster_id) GROUP BY ALL),
+m{k} AS MATERIALIZED (SELECT scope, post_id, cluster_id, distance FROM dist{k} WHERE distance < 0.6
+  QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY distance, cluster_id) = 1)""")
+        else:
+            steps.append("m0 AS (SELECT scope, post_id, 0::BIGINT AS cluster_id, 0.0::DOUBLE AS distance FROM b WHERE false)")
+        steps.append(f"""u{k} AS MATERIALIZED (SELECT scope, post_id AS id, created_at FROM b WHERE k = {k} AND post_id NOT IN (SELECT post_id FROM m{k})),
+e{k} AS MATERIALIZED (SELECT x.id AS l, y.id AS r, round(1 - sum(p.w * q.w), 9) + 0.0 AS distance FROM u{k} x JOIN vec p ON p.post_id = x.id
+  JOIN vec q USING (term) JOIN u{k} y ON y.id = q.post_id WHERE x.scope = y.scope AND (y.created_at, y.id) < (x.created_at, x.id)
+  GROUP BY ALL HAVING round(1 - sum(p.w * q.w), 9) < 0.6),
+{greedy},
+ids{k} AS MATERIALIZED (SELECT scope, id AS leader, coalesce((SELECT max(cluster_id) FROM a{k - 1} o WHERE o.scope = u{k}.scope), 0)
+    + row_number() OVER (PARTITION BY scope ORDER BY created_at, id) AS cluster_id FROM u{k} WHERE id NOT IN (FROM dropped{k})),
+j{k} AS (SELECT l, r, distance FROM e{k} JOIN u{k} y ON y.id = r WHERE l IN (FROM dropped{k}) AND r NOT IN (FROM dropped{k})
+  QUALIFY row_number() OVER (PARTITION BY l ORDER BY distance, y.created_at, r) = 1),
+d{k} AS MATERIALIZED (FROM m{k} UNION ALL SELECT scope, leader, cluster_id, 0.0 FROM ids{k}
+  UNION ALL SELECT scope, l, cluster_id, distance FROM j{k} JOIN ids{k} ON leader = r),
+a{k} AS MATERIALIZED (FROM d{k}{f" UNION ALL FROM a{k - 1}" if k else ""}),
+state{k + 1} AS MATERIALIZED (SELECT scope, cluster_id, term, sum(w) AS weight FROM a{k} JOIN vec USING (post_id) GROUP BY ALL)""".replace(
+                "coalesce((SELECT max(cluster_id) FROM a-1 o WHERE o.scope = u0.scope), 0)", "0"))
+    return rf"""WITH RECURSIVE {I.POSTS}, {I.vectors_sql('posts', L.ENGLISH_STOP_WORDS).replace('vec AS (', 'vec AS MATERIALIZED (')},
+b AS MATERIALIZED (SELECT post_id, created_at, scope, ((row_number() OVER (PARTITION BY scope ORDER BY created_at, post_id) - 1) * {slices}) // count(*) OVER (PARTITION BY scope) AS k
+  FROM (SELECT *, time_bucket(INTERVAL 4 HOUR, created_at) AS scope FROM posts WHERE len(regexp_extract_all(preprocessed_text, '\S+')) > 3)),
+{", ".join(steps)}
+SELECT scope AS epoch, post_id, cluster_id, round(distance, 4) + 0.0 AS distance FROM a{slices - 1}"""
+
+
+@REG.query("recluster", _recluster_sql())
 def recluster(spark, sf):
     """All posts, clusters per 4-hour epoch, in batches of a twelfth of the epoch."""
     p = retention.with_epoch(filters.min_words(I.posts(spark, sf), 3, "preprocessed_text"))
     assigned, _, _ = clustering.recluster(p, "epoch")
-    return assigned.select(F.col("scope").alias("epoch"), "post_id", "cluster_id", F.round("distance", 4).alias("distance"))
+    return assigned.select(F.col("scope").cast("timestamp_ntz").alias("epoch"), "post_id", "cluster_id", F.round("distance", 4).alias("distance"))
 
 
 def _summary_sql(min_posts: int, rounds: int = summary.ROUNDS, damping: float = summary.DAMPING) -> str:
@@ -219,8 +257,27 @@ def cluster_summary(spark, sf):
     return trends.with_summaries(I.clusters(p), summary.summarize(p)).select("cluster_id", "summary")
 
 
-@REG.query("detect_language")
+@REG.query("detect_language", """WITH rows AS (SELECT doc_id, lang, lower(text) AS t FROM documents),
+grams AS (SELECT doc_id, lang, unnest(list_transform(generate_series(1, length(t) - 2), lambda i: substr(t, i, 3))) AS gram FROM rows WHERE length(t) > 2),
+own AS MATERIALIZED (SELECT doc_id, gram, count(*) AS c FROM grams GROUP BY ALL),
+counts AS MATERIALIZED (SELECT lang, gram, count(*) AS n FROM grams GROUP BY ALL),
+langs AS (SELECT r.lang, r.docs, coalesce(g.grams, 0) AS grams, (SELECT count(DISTINCT gram) FROM counts) AS distinct_grams
+          FROM (SELECT lang, count(*) AS docs FROM rows GROUP BY 1) r LEFT JOIN (SELECT lang, sum(n) AS grams FROM counts GROUP BY 1) g USING (lang)),
+met AS (SELECT doc_id, lang, sum(c * ln(n + 1)) AS own FROM own JOIN counts USING (gram) GROUP BY ALL),
+scored AS (SELECT r.doc_id, r.lang, l.lang AS predicted_lang,
+             round(ln(docs) - greatest(length(t) - 2, 0) * ln(grams + distinct_grams) + coalesce(own, 0), 6) AS score
+           FROM rows r, langs l LEFT JOIN met m ON m.doc_id = r.doc_id AND m.lang = l.lang)
+SELECT doc_id, lang, predicted_lang FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, predicted_lang) = 1""")
 def detect_language(spark, sf):
-    """Trained on the given labels, then applied to every document."""
+    """Counted on the given labels, then applied to every document."""
+    d = I.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    counts, langs = language.trigram_counts(d)
+    found = language.detect_by_counts(d, written(counts, "trigrams"), written(langs, "languages"))
+    return d.select("doc_id", "lang").join(found, "doc_id")
+
+
+@REG.query("detect_language_ml")
+def detect_language_ml(spark, sf):
+    """The bounded-size ``pyspark.ml`` form, which also labels streams; its hash has no SQL twin."""
     d = I.table(spark, sf, "documents").select("doc_id", "text", "lang")
     return language.detect_lang(d, language.train_language_model(d)).select("doc_id", "lang", "predicted_lang")
