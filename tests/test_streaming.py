@@ -279,3 +279,24 @@ def test_restore_without_state(spark, places):
     add(spark, folder, [record(30, texts(3, "a")[0] + " !", T0 + timedelta(minutes=1)), record(31, "a wholly new story to tell here", T0 + timedelta(minutes=1))])
     job = run(spark, folder, base, retire_inactive=False, summaries=False)
     assert set(stored(job)) == set(before) | {"31"}
+
+
+def test_clusters_retire_once_when_windows_close(spark, places):
+    from trendloom.streaming.activity import ActivityWatch
+    _, base = places
+    at = lambda half_hours: T0 + timedelta(minutes=30 * half_hours)
+    closed = [[(0, "a", 3), (0, "b", 1), (1, "a", 2)], [(2, "a", 5), (2, "c", 2)], [(5, "c", 4)]]
+    frames = [spark.createDataFrame([(at(w), at(w + 1), c, n) for w, c, n in rows], "window_start timestamp, window_end timestamp, cluster_id string, n long") for rows in closed]
+    watch = ActivityWatch(spark, base, limit=2)
+
+    def got():
+        return {(r.cluster_id, r.post_count, r.retired_at) for r in watch.clusters().collect()}
+
+    watch.commit(frames[0], 0)
+    assert got() == {("a", 5, None), ("b", 0, at(1))}
+    for _ in range(2):                       # a replay changes nothing
+        watch.commit(frames[1], 1)
+        assert got() == {("a", 10, None), ("b", 0, at(1)), ("c", 2, None)}
+    watch.commit(frames[2].limit(0), 2)
+    watch.commit(frames[2], 3)               # two windows without any post lie between
+    assert got() == {("a", 0, at(4)), ("b", 0, at(1)), ("c", 0, at(4))}

@@ -144,7 +144,7 @@ def nearest_centroid_join(spark, sf):
     return found.select(F.col("id").alias("vec_id"), F.col("cluster_id").alias("nearest_label"), F.round("distance", 4).alias("distance"))
 
 
-@REG.query("open_clusters", f"""WITH RECURSIVE {I.POSTS}, {I.vectors_sql('posts', L.ENGLISH_STOP_WORDS)},
+_OPENED = f"""WITH RECURSIVE {I.POSTS}, {I.vectors_sql('posts', L.ENGLISH_STOP_WORDS)},
 near AS (SELECT a.post_id AS l, b.post_id AS r, round(1 - sum(a.w * b.w), 9) + 0.0 AS distance
          FROM vec a JOIN vec b USING (term) WHERE a.post_id <> b.post_id GROUP BY ALL HAVING round(1 - sum(a.w * b.w), 9) < 0.6),
 edges AS (SELECT l, r, distance FROM near JOIN posts p ON p.post_id = l JOIN posts q ON q.post_id = r
@@ -152,7 +152,10 @@ edges AS (SELECT l, r, distance FROM near JOIN posts p ON p.post_id = l JOIN pos
 arrivals AS (SELECT post_id AS id, created_at FROM posts),
 {I.greedy_sql('edges', 'arrivals')},
 joined AS (SELECT l, r, distance FROM edges JOIN posts q ON q.post_id = r WHERE l IN (FROM dropped) AND r NOT IN (FROM dropped)
-           QUALIFY row_number() OVER (PARTITION BY l ORDER BY distance, q.created_at, r) = 1)
+           QUALIFY row_number() OVER (PARTITION BY l ORDER BY distance, q.created_at, r) = 1)"""
+
+
+@REG.query("open_clusters", f"""{_OPENED}
 SELECT a.id AS post_id, coalesce(j.r, a.id) AS leader, round(coalesce(j.distance, 0), 4) + 0.0 AS distance
 FROM arrivals a LEFT JOIN joined j ON j.l = a.id""")
 def open_clusters(spark, sf):
@@ -166,6 +169,31 @@ def open_clusters(spark, sf):
             .select("post_id", F.col("_l").alias("leader"), F.round("distance", 4).alias("distance")))
 
 
+_MERGE_WALK = re.sub(r"\b(linked|steps|walk|dropped)\b", r"\g<1>_again", I.greedy_sql("cluster_edges", "cluster_order"))
+
+
+@REG.query("merge_passes", f"""{_OPENED},
+ids AS (SELECT id AS leader, row_number() OVER (ORDER BY created_at, id) AS cluster_id FROM arrivals WHERE id NOT IN (FROM dropped)),
+opened AS MATERIALIZED (SELECT a.id AS post_id, i.cluster_id FROM arrivals a LEFT JOIN joined j ON j.l = a.id JOIN ids i ON i.leader = coalesce(j.r, a.id)),
+sums AS (SELECT cluster_id, term, sum(w) AS w FROM opened JOIN vec USING (post_id) GROUP BY ALL),
+middles AS MATERIALIZED (SELECT cluster_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY cluster_id)) AS w FROM sums),
+cluster_edges AS MATERIALIZED (SELECT x.cluster_id AS l, y.cluster_id AS r, round(1 - sum(x.w * y.w), 9) + 0.0 AS distance FROM middles x JOIN middles y USING (term)
+          WHERE y.cluster_id < x.cluster_id GROUP BY ALL HAVING round(1 - sum(x.w * y.w), 9) < 0.6),
+cluster_order AS (SELECT cluster_id AS id, cluster_id AS created_at FROM ids),
+{_MERGE_WALK},
+moves AS (SELECT l, r FROM cluster_edges WHERE l IN (FROM dropped_again) AND r NOT IN (FROM dropped_again)
+          QUALIFY row_number() OVER (PARTITION BY l ORDER BY distance, r) = 1)
+SELECT post_id, coalesce(r, cluster_id) AS cluster_id FROM opened LEFT JOIN moves ON l = cluster_id""")
+def merge_passes(spark, sf):
+    """All posts as one huge batch; then one pass joins clusters whose centroids are close."""
+    p = I.posts(spark, sf).select("post_id", "created_at", "preprocessed_text")
+    ordered = neardup.with_rank(vectors.scoped(p), ["created_at", "post_id"], "id")
+    index, frequency = clustering.index_vectors(vectors.vectors(ordered, ("scope", "id")).drop("tf"))
+    assigned, added, stats = clustering.cluster_batch(ordered.select("scope", "id"), index, frequency, None, None)
+    merged, _, _ = clustering.merge_opened(assigned, added, None, stats, None, frequency)
+    return merged.join(ordered.select("id", "post_id"), "id").select("post_id", "cluster_id")
+
+
 def _recluster_sql(slices: int = 12) -> str:
     """The slices one after another, each on the centroids that the ones before left."""
     steps = []
