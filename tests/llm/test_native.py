@@ -226,3 +226,11 @@ def test_ids_that_recur_keep_all_their_rows(spark):
 def test_no_calls(spark):
     assert link(spark, [], []) == {}
     assert [r.status for r in link(spark, [], [("a", 1, "x")]).values()] == ["orphan_result"]
+
+
+def test_thresholds_come_from_all_that_is_held_out(make_docs):
+    docs = make_docs([(i, f"write to person{i}@host{i % 7}.example.org or call +1 314 555 {1000 + i}, not 300.{i}.1.2", "en", "a", 0) for i in range(120)])
+    spans = pii.candidates(docs).select("_row", F.inline("found")).cache()
+    (few, held), (many, same) = (tuple(rows.count() for rows in pii.examples(spans, n)) for n in (3, 10_000))
+    accepted = spans.where("rule AND base").count()
+    assert held == same > 3 * 2 * 4 and few < many and many + held == spans.where("rule").count() + 2 * accepted

@@ -137,25 +137,35 @@ def _spoiled(good: DataFrame) -> DataFrame:
     return good.withColumn("span", wrong).unionByName(inside)
 
 
+def examples(spans: DataFrame, per_kind: int) -> tuple[DataFrame, DataFrame]:
+    """(to fit on, held out): labelled spans of the base rules, and spoiled copies of those accepted.
+
+    A quarter by hash is held out, all of it. Of the others at most ``per_kind`` accepted and as many refused ones a kind, chosen by the hash, are fitted on.
+    """
+    known = spans.where("rule").withColumn("_hash", F.xxhash64("span", "before", "after")).withColumn("_fold", F.pmod("_hash", F.lit(4)) == 0)
+    order = Window.partitionBy("kind", "base").orderBy("_hash", "span", "start")
+    chosen = known.where("NOT _fold").withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= per_kind)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        rows = rows.select("kind", "start", "span", "before", "after", "base")
+        return rows.withColumn("label", F.col("base").cast("double")).unionByName(_spoiled(rows.where("base")).withColumn("label", F.lit(0.0)))
+
+    return labelled(chosen), labelled(known.where("_fold"))
+
+
 def scored(spans: DataFrame, per_kind: int = 4000, precision: float = 0.99, bins: int = 50, trees: int = 16, depth: int = 4) -> DataFrame | None:
     """The wider generators' spans with ``score`` and ``chosen``; None where there is nothing to learn from.
 
-    The trees are fitted on at most ``per_kind`` accepted and as many refused spans a kind, chosen by a hash, and their spoiled
-    copies. Thresholds are calibrated on a hash quarter kept apart: for each kind the lowest score, 0.5 at least, from which on
-    ``precision`` of what is selected is right.
+    The trees are fitted on the bounded part of ``examples``. Thresholds are calibrated on all that is held out: for each kind the lowest score, 0.5 at
+    least, from which on ``precision`` of what is selected is right.
     """
-    kinds = Window.partitionBy("kind", "base", F.col("_fold")).orderBy("_hash", "span", "start")
-    known = spans.where("rule").withColumn("_hash", F.xxhash64("span", "before", "after")).withColumn("_fold", F.pmod("_hash", F.lit(4)) == 0)
-    known = known.withColumn("_at", F.row_number().over(kinds)).where(F.col("_at") <= per_kind)
-    known = known.select("kind", "start", "span", "before", "after", "base", "_fold")
-    examples = known.withColumn("label", F.col("base").cast("double"))
-    examples = written(examples.unionByName(_spoiled(known.where("base")).withColumn("label", F.lit(0.0))), "pii-examples").coalesce(4)
-    fold = examples.agg(*[F.count_distinct(F.when(F.col("_fold") == f, F.col("label"))) for f in (False, True)]).first()
-    if min(fold) < 2:
+    fitted, held = examples(spans, per_kind)
+    fitted, held = written(fitted, "pii-examples").coalesce(4), written(held, "pii-held-out")
+    if any(rows.agg(F.count_distinct("label")).first()[0] < 2 for rows in (fitted, held)):
         return None
-    model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, seed=7, maxMemoryInMB=64).fit(featured(examples.where(~F.col("_fold"))))
+    model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, seed=7, maxMemoryInMB=64).fit(featured(fitted))
     score = vector_to_array("probability")[1]
-    held = model.transform(featured(examples.where("_fold"))).select("kind", "label", F.floor(score * bins).alias("bin"))
+    held = model.transform(featured(held)).select("kind", "label", F.floor(score * bins).alias("bin"))
     down = Window.partitionBy("kind").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     held = held.groupBy("kind", "bin").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n"))
     held = held.withColumn("share", F.sum("right").over(down) / F.sum("n").over(down)).where(F.col("share") >= precision)
