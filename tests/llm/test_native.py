@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 
 import pytest
@@ -223,6 +224,53 @@ def test_ids_that_recur_keep_all_their_rows(spark):
     assert got == sorted(want, key=str)
 
 
+def _places(n: dict[str, int], needs: dict[str, list[str]]) -> dict[str, tuple[int, int] | None]:
+    """One by one: the last (seq, number of calls in between) over all ways down; None in and behind cycles."""
+    def of(c, above):
+        if c in above:
+            return None
+        lower = [of(d, above | {c}) for d in needs.get(c, []) if d in n]
+        return None if None in lower else max([(n[c], 0), *[(k, d + 1) for k, d in lower]])
+    return {c: of(c, frozenset()) for c in n}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_places_one_by_one(spark, seed):
+    """Chains forward, calls with several needs, hubs, cycles, calls behind cycles, equal seqs, unknown and repeated needs."""
+    draw = random.Random(seed)
+    n = {f"c{i}": draw.randrange(30) for i in range(40)}
+    reach = lambda i: i + 4 if seed and draw.random() < 0.06 else i
+    needs = {c: [f"c{draw.randrange(max(0, i - 6), reach(i))}" for _ in range(draw.choice([0, 1, 1, 2, 3]) if i else 0)] for i, c in enumerate(n)}
+    needs.update({f"c{i}": ["c0", "c0"] for i in range(36, 40)})
+    edges = [(c, d) for c, found in needs.items() for d in found] + [(None, "c1"), ("c1", None)]
+    got = toolcalls.topological(spark.createDataFrame(list(n.items()), "call_id string, seq long"), spark.createDataFrame(edges, "call_id string, need string"))
+    want = _places(n, needs)
+    assert {r.call_id: r.order_key is not None and (r.order_key, r.order_depth) or None for r in got.collect()} == want
+    assert any(p is not None and p[1] > 1 for p in want.values()) and (seed == 0 or None in want.values())
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds, real = [], toolcalls.written
+    monkeypatch.setattr(toolcalls, "written", lambda df, label: rounds.append(label) or real(df, label))
+    calls = spark.range(1000).select(F.col("id").cast("string").alias("call_id"), F.col("id").alias("seq"))
+    edges = spark.range(999).select(F.col("id").cast("string").alias("call_id"), (F.col("id") + 1).cast("string").alias("need"))
+    places = {int(r.call_id): (r.order_key, r.order_depth) for r in toolcalls.topological(calls, edges).collect()}
+    assert places == {i: (999, 999 - i) for i in range(1000)} and rounds.count("jumps") <= 12
+
+
+def test_turns_keep_all_their_rows(spark):
+    """Null ids and conversations, repeated turns, all roles, empty and long texts, clashing names."""
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "abcde"), (1, 2, "assistant", "r"), (1, 3, "user", "ab"), (1, 3, "user", "ab"), (1, 4, "assistant", None), (1, 4, "assistant", "again"),
+             (None, 1, "user", "x" * 100_000), (None, 2, "assistant", ""), (2, None, "user", "t"), (2, None, "assistant", "t"), (3, 0, None, None), (4, 0, "user", ""), (4, 7, "assistant", "lost")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("other") for c in ("call_id", "seq", "name", "_row", "need")})
+    rows = toolcalls.link_calls(*toolcalls.turns_as_calls(df), toolcalls.TOOLS).collect()
+    assert sum(r.n_calls for r in rows if r.status.startswith(("no_id", "dup"))) == 2 and len(rows) == 11
+    got = {(r.conv_id, r.call_id): r for r in rows if not r.status.startswith(("no_id", "dup"))}
+    assert (got[1, "1"].order_key, got[1, "1"].order_depth, got[1, "3"].n_calls, got[1, "3"].n_results) == (3, 1, 2, 2)
+    assert {k: r.status for k, r in got.items()} == {(1, "0"): "no_result", (1, "1"): "linked", (1, "3"): "linked", (None, "1"): "linked", (3, "0"): "no_result",
+                                                     (4, "0"): "no_result", (4, "6"): "orphan_result"}
+
+
 def test_no_calls(spark):
     assert link(spark, [], []) == {}
     assert [r.status for r in link(spark, [], [("a", 1, "x")]).values()] == ["orphan_result"]

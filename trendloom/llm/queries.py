@@ -141,28 +141,44 @@ REG.query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 
 TOOL_CALLS_SQL = r"""
-WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, (conv_id + turn) % 8 AS w,
-                  conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
-c AS (SELECT *, CASE WHEN w < 3 THEN 'search' WHEN w < 5 THEN 'translate' WHEN w < 7 THEN 'summarise' ELSE 'dance' END AS name,
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, text AS content, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+                       (conv_id + turn) % 8 AS w, coalesce(length(conv_id::VARCHAR) || ':' || conv_id, '-:') AS conv FROM conversations),
+c AS (SELECT *, conv || turn AS key, turn::VARCHAR AS call_id,
+        CASE WHEN w < 3 THEN 'search' WHEN w < 5 THEN 'translate' WHEN w < 7 THEN 'summarise' ELSE 'dance' END AS name,
         CASE WHEN w < 3 THEN '{"limit":' || n || ',"query":' || to_json(text) || '}'
              WHEN w < 5 THEN CASE WHEN n % 5 = 0 THEN '{"text":' || to_json(text) || '}' ELSE '{"target":"en","text":' || to_json(text) || '}' END
              WHEN w < 7 THEN CASE WHEN n % 3 = 0 THEN '{"max_words":"' || n || '","text":' || to_json(text) || '}'
                                   ELSE '{"deep":true,"max_words":' || n || ',"text":' || to_json(text) || '}' END ELSE '{}' END AS args,
         CASE WHEN w < 3 THEN '' WHEN w < 5 THEN CASE WHEN n % 5 = 0 THEN 'missing:target' ELSE '' END
              WHEN w < 7 THEN CASE WHEN n % 3 = 0 THEN 'type:max_words' ELSE 'extra:deep' END ELSE 'unknown_tool' END AS errors,
-        count(*) OVER (PARTITION BY call_id) AS n_calls, row_number() OVER (PARTITION BY call_id ORDER BY text) AS nth FROM u),
-one AS (SELECT * FROM c WHERE nth = 1),
-r AS (SELECT conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR AS call_id, min(text) AS content, count(*) AS n_results
-      FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1)
-SELECT one.conv_id, call_id, one.turn AS seq, name,
-  CASE WHEN n_calls IS NULL THEN 'orphan_result'
-       WHEN one.turn >= 2 AND conv_id::VARCHAR || ':' || (one.turn - 2)::VARCHAR NOT IN (SELECT o.call_id FROM one o) THEN 'missing_need'
-       WHEN n_results IS NULL THEN 'no_result' ELSE 'linked' END AS status,
-  errors, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results, one.turn AS order_key,
-  CASE WHEN n_calls IS NOT NULL THEN 0 END AS order_depth,
-  '{"arguments":' || coalesce(args, 'null') || ',"call_id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null')
+        CASE WHEN role = 'user' AND turn >= 2 AND n % 4 IN (0, 3) THEN conv || (turn - 2) END AS before,
+        CASE WHEN role = 'user' AND n % 4 IN (1, 3) THEN conv || (turn + 2) END AS after,
+        count(*) OVER (PARTITION BY conv, turn) AS n_calls, row_number() OVER (PARTITION BY conv, turn ORDER BY text, rid) AS nth
+      FROM t WHERE role IS DISTINCT FROM 'assistant'),
+one AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY conv) AS conv_calls FROM c WHERE nth = 1 AND turn IS NOT NULL),
+r AS (SELECT *, conv || (turn - 1) AS key, (turn - 1)::VARCHAR AS call_id, count(*) OVER (PARTITION BY conv, turn) AS n_results,
+        row_number() OVER (PARTITION BY conv, turn ORDER BY content NULLS FIRST, rid) AS nth FROM t WHERE role = 'assistant'),
+wanted AS (SELECT key, before AS need FROM one WHERE before IS NOT NULL UNION SELECT key, after FROM one WHERE after IS NOT NULL),
+lacking AS (SELECT DISTINCT key FROM wanted WHERE need NOT IN (SELECT key FROM one)),
+walk(key, node, steps) AS (
+  SELECT key, key, 0 FROM one
+  UNION
+  SELECT walk.key, need, steps + 1 FROM walk JOIN wanted ON wanted.key = walk.node JOIN one ON one.key = wanted.need WHERE steps < one.conv_calls),
+places AS (SELECT walk.key, max(steps) >= any_value(one.conv_calls) AS cyclic, max({'k': one.turn, 'd': steps}) AS place
+           FROM walk JOIN one ON one.key = walk.node GROUP BY walk.key),
+first_rows AS (SELECT o.conv_id AS call_conv, a.conv_id AS result_conv, coalesce(o.call_id, a.call_id) AS call_id, o.turn AS seq, name, args, errors, a.content,
+    CASE WHEN n_calls IS NULL THEN 'orphan_result' WHEN o.key IN (FROM lacking) THEN 'missing_need' WHEN n_results IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+    coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results, CASE WHEN NOT cyclic THEN place.k END AS order_key, CASE WHEN NOT cyclic THEN place.d END AS order_depth
+  FROM one o FULL JOIN (FROM r WHERE nth = 1 AND turn IS NOT NULL) a ON a.key = o.key LEFT JOIN places p ON p.key = o.key),
+every AS (SELECT coalesce(call_conv, result_conv) AS conv_id, call_id, seq, name, status, errors, n_calls, n_results, order_key, order_depth, args, content FROM first_rows
+  UNION ALL SELECT conv_id, call_id, turn, name, CASE WHEN turn IS NULL THEN 'no_id' ELSE 'duplicate_call' END, errors, 1, 0, NULL, NULL, args, NULL
+    FROM c WHERE nth > 1 OR turn IS NULL
+  UNION ALL SELECT conv_id, call_id, turn, NULL, CASE WHEN turn IS NULL THEN 'no_id' ELSE 'duplicate_result' END, NULL, 0, 1, NULL, NULL, NULL, content
+    FROM r WHERE nth > 1 OR turn IS NULL)
+SELECT conv_id, call_id, seq, name, status, errors, n_calls, n_results, order_key, order_depth,
+  '{"arguments":' || coalesce(args, 'null') || ',"call_id":' || coalesce('"' || call_id || '"', 'null') || ',"name":' || coalesce('"' || name || '"', 'null')
     || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS canonical
-FROM one FULL JOIN r USING (call_id)
+FROM every
 """
 
 

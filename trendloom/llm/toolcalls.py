@@ -39,37 +39,75 @@ def schema_errors(name: Column, arguments: Column, schemas: dict[str, dict[str,
     return F.when(whole.isNull() | ~F.startswith(whole, F.lit("OBJECT")), F.array(F.lit("not_an_object"))).otherwise(checked)
 
 
+def _shifted(at: Column, hops: Column) -> Column:
+    """A place seen from ``hops`` calls further on; null if there is none."""
+    return F.when(at.isNotNull(), F.struct(at["key"].alias("key"), (at["depth"] + hops).alias("depth")))
+
+
+def _chain_ends(edges: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Where the calls with one open need lead to: (call_id, to, hops, at), and those that only lead round a cycle.
+
+    Pointers are doubled: after k rounds each has passed 2^k calls, or stands at a call without or with several open needs. ``at`` is the last place
+    among the calls passed, as seen from ``call_id``.
+    """
+    single = edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("to"), F.first("hops").alias("hops")).where("n = 1")
+    jumps = written(single.drop("n").join(state, "call_id"), "jumps")
+    before = None
+    while True:
+        on = jumps.select(F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"), F.col("at").alias("passed"))
+        live = jumps.join(on.select("to"), "to", "left_semi").count()
+        if live == 0 or live == before:
+            break
+        before = live
+        jumps = written(jumps.join(on, "to", "left").select(
+            "call_id", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0).cast("long"))).alias("hops"),
+            F.greatest("at", _shifted(F.col("passed"), F.col("hops"))).alias("at")), "jumps")
+    if live == 0:
+        return jumps, None
+    # Distances to an end have no gaps, so a round that ends no chain has met all that end.
+    pointers = jumps.select(F.col("call_id").alias("to"))
+    return jumps.join(pointers, "to", "left_anti"), jumps.join(pointers, "to", "left_semi").select("call_id")
+
+
 def topological(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """``call_id, seq`` and ``call_id, need`` -> ``call_id, order_key, order_depth``: needed calls sort first by (key, depth).
 
-    A call that only needs earlier ones keeps its place. The others, and whatever needs them, come after the last of what they need, one depth
-    below it. Each round places all whose needs are placed, so there are as many rounds as such calls in a chain; calls that wait for themselves
-    have null keys. Needs that are no known call are ignored here.
+    A call's place is the last (seq, calls in between) of all calls it needs, directly or not, itself included: one that needs earlier ones only
+    keeps its own seq and depth 0, the others come after the last of what they need, one depth below it. Chains are passed by doubling pointers, so one of n
+    calls takes log n rounds; then the calls with several open needs are placed, a round for each such call on a path. What waits for itself has
+    null keys. Needs that are no known call and null ids or needs are ignored, repeated needs count once. ``call_id`` must be unique; no calls: no rows.
     """
+    calls = calls.select("call_id", F.col("seq").cast("long").alias("seq"))
     needs = calls.select(F.col("call_id").alias("need"), F.col("seq").alias("need_seq"))
     edges = written(edges.join(calls, "call_id").join(needs, "need").select("call_id", "seq", "need", "need_seq").distinct(), "needs")
-    late = written(edges.where(F.col("need_seq") >= F.col("seq")).select("call_id").distinct(), "late-calls")
-    place = calls.select("call_id", F.col("seq").alias("order_key"), F.lit(0).cast("long").alias("order_depth"))
-    if late.isEmpty():
-        return place
-    front = late
-    while not front.isEmpty():
-        front = edges.join(front.select(F.col("call_id").alias("need")), "need", "left_semi").select("call_id").distinct()
-        front = written(front.join(late, "call_id", "left_anti"), "late-calls")
-        late = written(late.union(front), "late-calls")
-    placed = written(place.join(late, "call_id", "left_anti"), "placed")
-    waiting = edges.join(late, "call_id", "left_semi")
+    if edges.where(F.col("need_seq") >= F.col("seq")).isEmpty():
+        return calls.select("call_id", F.col("seq").alias("order_key"), F.lit(0).cast("long").alias("order_depth"))
+    start = calls.select("call_id", F.struct(F.col("seq").alias("key"), F.lit(0).cast("long").alias("depth")).alias("at"))
+    edges = edges.select("call_id", "need", F.lit(1).cast("long").alias("hops"))
+    needing = edges.select("call_id").distinct()
+    placed = written(start.join(needing, "call_id", "left_anti"), "placed")
+    state = written(start.join(needing, "call_id", "left_semi"), "open-calls")
     while True:
-        of_need = placed.select(F.col("call_id").alias("need"), F.struct("order_key", "order_depth").alias("at"))
-        ready = (waiting.join(placed, "call_id", "left_anti").join(of_need, "need", "left").groupBy("call_id", "seq")
-                 .agg(F.max("at").alias("last"), F.count(F.when(F.col("at").isNull(), 1)).alias("open")).where("open = 0"))
-        own = F.col("seq") > F.col("last.order_key")
-        ready = written(ready.select("call_id", F.when(own, F.col("seq")).otherwise(F.col("last.order_key")).alias("order_key"),
-                                     F.when(own, F.lit(0).cast("long")).otherwise(F.col("last.order_depth") + 1).alias("order_depth")), "ready")
+        jumps, stuck = _chain_ends(edges, state)
+        if stuck is not None:
+            edges = edges.join(stuck, "call_id", "left_anti")
+        via = jumps.select(F.col("call_id").alias("need"), "to", F.col("hops").alias("more"), F.col("at").alias("passed"))
+        done = placed.select(F.col("call_id").alias("to"), F.col("at").alias("there"))
+        moved = edges.join(via, "need", "left").select(
+            "call_id", F.coalesce("to", "need").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0).cast("long"))).alias("hops"),
+            _shifted(F.col("passed"), F.col("hops")).alias("passed"))
+        moved = written(moved.join(done, "to", "left").select(
+            "call_id", "to", "hops", F.greatest("passed", _shifted(F.col("there"), F.col("hops"))).alias("gained"), F.col("there").isNull().alias("open")), "moved")
+        gains = moved.groupBy("call_id").agg(F.max("gained").alias("gained"), F.max("open").alias("open"))
+        state = written(state.join(gains, "call_id").select("call_id", F.greatest("at", "gained").alias("at"), "open"), "open-calls")
+        ready = state.where(~F.col("open")).select("call_id", "at")
         if ready.isEmpty():
             break
-        placed = written(placed.union(ready), "placed")
-    return calls.select("call_id").join(placed, "call_id", "left")
+        placed = written(placed.unionByName(ready), "placed")
+        state = state.where("open").select("call_id", "at")
+        edges = written(moved.where("open").groupBy("call_id", F.col("to").alias("need")).agg(F.max("hops").alias("hops")), "needs")
+    return calls.select("call_id").join(placed, "call_id", "left").select(
+        "call_id", F.col("at.key").alias("order_key"), F.col("at.depth").alias("order_depth"))
 
 
 def _line(call_id: Column) -> Column:
@@ -159,21 +197,25 @@ TOOLS = {"search": {"query": ("string", True), "limit": ("integer", False)},
 
 
 def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain conversations read as tool use: a user's turn is a call that needs the user's turn before, the turn after it its result.
+    """Plain conversations read as tool use: a turn of any role but assistant is a call, the assistant's turn after it its result.
 
-    The tool, and what is wrong with some calls, follow from conversation, turn and length.
+    By its number of characters a user's turn needs the call two turns before, the one two turns after, none or both, so there are chains that
+    point forward and cycles. The tool, and what is wrong with some calls, follow from conversation, turn and length. Every turn gives one row: a null
+    text is empty, a null turn gives a null id, null conversations are one of their own, repeated turns repeat an id.
     """
     text, n = F.coalesce("text", F.lit("")), F.char_length(F.coalesce("text", F.lit("")))
-    call_id = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
+    at = lambda steps: (F.col("turn") + steps).cast("string")
     which = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(8))
     search = F.to_json(F.struct(text.alias("query"), n.alias("limit")))
     translate = F.when(n % 5 == 0, F.to_json(F.struct(text.alias("text")))).otherwise(F.to_json(F.struct(text.alias("text"), F.lit("en").alias("target"))))
     summarise = F.when(n % 3 == 0, F.to_json(F.struct(text.alias("text"), n.cast("string").alias("max_words")))).otherwise(
         F.to_json(F.struct(text.alias("text"), n.alias("max_words"), F.lit(True).alias("deep"))))
-    users = turns.where((F.col("role") == "user") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    calls = users.select("conv_id", F.col("turn").cast("long").alias("seq"), call_id(0).alias("call_id"),
-                         F.when(which < 3, "search").when(which < 5, "translate").when(which < 7, "summarise").otherwise("dance").alias("name"),
-                         F.when(which < 3, search).when(which < 5, translate).when(which < 7, summarise).otherwise(F.lit("{}")).alias("arguments"),
-                         F.when(F.col("turn") >= 2, F.array(call_id(2))).otherwise(F.array().cast("array<string>")).alias("needs"))
-    replies = turns.where(F.col("role") == "assistant").select(call_id(1).alias("call_id"), F.col("turn").cast("long").alias("seq"), F.col("text").alias("content"))
+    user = F.col("role").eqNullSafe("user") & F.col("turn").isNotNull()
+    before, after = F.when(user & (n % 4).isin(0, 3) & (F.col("turn") >= 2), at(-2)), F.when(user & (n % 4).isin(1, 3), at(2))
+    calls = turns.where(~F.col("role").eqNullSafe("assistant")).select(
+        "conv_id", F.col("turn").cast("long").alias("seq"), at(0).alias("call_id"),
+        F.when(which < 3, "search").when(which < 5, "translate").when(which < 7, "summarise").otherwise("dance").alias("name"),
+        F.when(which < 3, search).when(which < 5, translate).when(which < 7, summarise).otherwise(F.lit("{}")).alias("arguments"),
+        F.array_compact(F.array(before, after)).alias("needs"))
+    replies = turns.where(F.col("role") == "assistant").select("conv_id", at(-1).alias("call_id"), F.col("turn").cast("long").alias("seq"), F.col("text").alias("content"))
     return calls, replies
