@@ -241,7 +241,7 @@ def test_places_one_by_one(spark, seed):
     n = {f"c{i}": draw.randrange(30) for i in range(40)}
     reach = lambda i: i + 4 if seed and draw.random() < 0.06 else i
     needs = {c: [f"c{draw.randrange(max(0, i - 6), reach(i))}" for _ in range(draw.choice([0, 1, 1, 2, 3]) if i else 0)] for i, c in enumerate(n)}
-    needs.update({f"c{i}": ["c0", "c0"] for i in range(36, 40)})
+    needs.update({f"c{i}": ["c0", "c0"] for i in range(36, 40)} | ({"c32": ["c33"], "c33": ["c32", "c5"], "c34": ["c33"]} if seed else {}))
     edges = [(c, d) for c, found in needs.items() for d in found] + [(None, "c1"), ("c1", None)]
     got = toolcalls.topological(spark.createDataFrame(list(n.items()), "call_id string, seq long"), spark.createDataFrame(edges, "call_id string, need string"))
     want = _places(n, needs)
