@@ -58,12 +58,26 @@ def _numeric_exceptions() -> dict[int, str]:
     return found
 
 
-def _table(values: dict, key: str) -> Column:
+def _table(values: dict, kind: str) -> Column:
     """A constant map; folded once, not built for each row."""
-    return F.from_json(F.lit(json.dumps(values)), f"map<{key},string>")
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _by_letters(values: dict[str, str]) -> dict[str, dict[str, dict[str, str]]]:
+    """Names below their first and second letter, as maps are searched from the start."""
+    found: dict = {}
+    for name, value in values.items():
+        found.setdefault(name[0], {}).setdefault(name[1], {})[name] = value
+    return found
+
+
+def _looked_up(values: dict[str, str], name: Column) -> Column:
+    first = F.try_element_at(_table(_by_letters(values), "map<string,map<string,map<string,string>>>"), F.substring(name, 1, 1))
+    return F.try_element_at(F.try_element_at(first, F.substring(name, 2, 1)), name)
 
 
 _ENTITY = (r"(?s)&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[^\t\n\f <&#;]{1,32}+;?)|[^&]++|&")
+_COMMON = ("amp;", "lt;", "gt;", "quot;", "nbsp;")  # tried first
 _SHORT = {k: v for k, v in html5.items() if not k.endswith(";")}  # names that also count without a semicolon
 
 
@@ -72,16 +86,19 @@ def _character(digits: Column, base: int) -> Column:
     kept = F.ltrim(digits, F.lit("0"))
     n = F.when(F.length(kept) > 7, F.lit(0x110000)).otherwise(F.conv(F.when(kept == "", F.lit("0")).otherwise(kept), base, 10).cast("long"))
     own = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    known = F.try_element_at(_table({str(k): v for k, v in _numeric_exceptions().items()}, "string"), n.cast("string"))
+    known = F.try_element_at(_table({str(k): v for k, v in _numeric_exceptions().items()}, "map<string,string>"), n.cast("string"))
     return F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("\ufffd")).otherwise(F.coalesce(known, own))
 
 
+_SHORT_START = "^(?:" + "|".join(sorted(_SHORT, key=len, reverse=True)) + ")"
+
+
 def _named(run: Column) -> Column:
     """A name's characters; of an unknown name the longest start that is a name without its semicolon."""
     name = F.substring(run, 2, 40)
-    starts = [F.concat(F.try_element_at(_table(_SHORT, "string"), F.when(F.length(name) > n, F.substring(name, 1, n))), F.substring(name, n + 1, 40))
-              for n in range(max(map(len, _SHORT)), 1, -1)]
-    return F.coalesce(F.try_element_at(_table(html5, "string"), name), *starts, run)
+    start = F.regexp_extract(name, _SHORT_START, 0)
+    by_start = F.concat(_looked_up(_SHORT, start), F.substring(name, F.length(start) + 1, F.lit(40)))
+    return F.coalesce(_looked_up(html5, name), by_start, run)
 
 
 def html_unescape(text: Column) -> Column:
@@ -89,7 +106,10 @@ def html_unescape(text: Column) -> Column:
     def decoded(run: Column) -> Column:
         digits = F.regexp_replace(run, "[&#xX;]", "")
         hexadecimal = F.lower(F.substring(run, 3, 1)) == "x"
-        return (F.when(~F.startswith(run, F.lit("&")) | (run == "&"), run)
+        found = F.when(~F.startswith(run, F.lit("&")) | (run == "&"), run)
+        for name in _COMMON:
+            found = found.when(run == f"&{name}", F.lit(html5[name]))
+        return (found
                 .when(F.startswith(run, F.lit("&#")), F.when(hexadecimal, _character(digits, 16)).otherwise(_character(digits, 10)))
                 .otherwise(_named(run)))
 

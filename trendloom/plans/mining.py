@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from trendloom.functions import language, lexicon as L, minhash as M, text as X
-from trendloom.operators import clustering, filters, neardup, retention, summary, trends, vectors
+from trendloom.operators import clustering, dense, filters, neardup, retention, summary, trends, vectors
 from trendloom.plans import inputs as I
 from trendloom.plans.registry import Registry
 from trendloom.session import written
@@ -137,11 +137,9 @@ QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, nearest_label)
 def nearest_centroid_join(spark, sf):
     """Every embedding against the mean of every label, without a distance limit."""
     e = I.table(spark, sf, "embeddings")
-    rows = vectors.dense_rows(e, "vec_id", "embedding")
-    labelled = rows.join(e.select("vec_id", "label"), "vec_id")
-    centers = labelled.groupBy(F.col("label").alias("cluster_id"), "term").agg(F.avg("w").alias("weight"))
-    found = vectors.assign_all(vectors.scoped(rows.withColumnRenamed("vec_id", "id")), vectors.scoped(centers), max_distance=2.5)
-    return found.select(F.col("id").alias("vec_id"), F.col("cluster_id").alias("nearest_label"), F.round("distance", 4).alias("distance"))
+    dims = dense.dimensions(e, "embedding")
+    found = dense.nearest_center(e, "vec_id", "embedding", dense.mean_directions(e, "label", "embedding", dims), dims)
+    return found.select("vec_id", F.col("cluster_id").alias("nearest_label"), F.round("distance", 4).alias("distance"))
 
 
 _OPENED = f"""WITH RECURSIVE {I.POSTS}, {I.vectors_sql('posts', L.ENGLISH_STOP_WORDS)},
