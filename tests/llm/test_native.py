@@ -178,6 +178,16 @@ def test_trees_add_what_stands_side_by_side(make_docs):
     assert all(got[i].spans == ",".join(base_spans(rows[i][1])) for i in range(300))
 
 
+def test_spelled_addresses(make_docs):
+    rows = [(i, f"host {i * 37 % 224}.{i % 256}.{i * 11 % 256}.{i * 7 % 256} and 400.{i}.1.2, write to me{i}@mail{i % 7}.example.com ok", "en", "s", 0) for i in range(300)]
+    spelled = {1000: "10[.]20[.]30[.]40", 1001: "10 (dot) 20 (dot) 30 (dot) 40", 1002: "192[dot]168[dot]1[dot]254"}
+    wrong = {2000: "400[.]20[.]30[.]40", 2001: "10[.]20[.]30", 2002: "see [1] (dot) 2", 2003: "999(.)999(.)999(.)999"}
+    rows += [(i, f"é host {t} ok", "en", "s", 0) for i, t in {**spelled, **wrong}.items()]
+    got = {r.doc_id: r for r in pii.digests(pii.pii_spans(make_docs(rows))).collect()}
+    assert {i: got[i].spans for i in spelled} == {i: f"ip:7:{7 + len(t)}" for i, t in spelled.items()}
+    assert all(got[i].spans == "" for i in wrong) and all(got[i].n_ip == 0 for i in [*spelled, *wrong])
+
+
 def test_redaction(make_docs):
     spans = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for k, a, b in ((3, 2, 5), (0, 4, 7), (1, 9, 10))])
     assert make_docs([(1, "abédefghij", "en", "s", 0)]).select(pii.redacted(F.col("text"), spans).alias("t")).first().t == "ab[phone]hi[ip]"

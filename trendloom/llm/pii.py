@@ -27,13 +27,17 @@ BASE = {
 #: What the generators look for besides.
 WIDER = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|@)\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\.)[A-Za-z0-9-]++)++"),
+    ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))\x20?[0-9]{1,3}){3}(?![0-9])"),
     ("card", r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{4,7}(?![0-9A-Za-z])"),
     ("phone", r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,4}){2,3}(?![0-9])"),
     ("phone", r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
 )
+#: Spelled marks in what the generators find, and what they stand for.
+_SPELLED = ((r"\x20?(?:\(at\)|\[at\])\x20?", "@"), (r"\x20?(?:\(dot\)|\[dot\]|\(\.\)|\[\.\])\x20?", "."))
 #: What a text must have for a pattern of the kind to match in it; cheaper to look for than the pattern.
 _GATES = {"ip": r"[0-9]\.", "card": r"[0-9][\x20-]?[0-9]", "phone": "[0-9]{2}"}
 CONTEXT = 16
+_PARTS = 64
 FEATURES = ("kind", "n_chars", "n_digits", "n_letters", "n_signs", "n_groups", "longest_group", "plus", "at", "tail_letters",
             "check_digit", "largest_part", "letter_before", "digit_before", "letter_after", "digit_after", "mark_before")
 
@@ -66,6 +70,8 @@ def _found(text: Column, pattern: str, kind: str, base: bool) -> Column:
     may = F.contains(text, F.lit("@")) | F.contains(text, F.lit("at")) if kind == "email" else F.contains(text, F.lit("+")) if pattern == BASE["phone"] else text.rlike(_GATES[kind])
     if pattern == BASE["email"]:
         may = F.contains(text, F.lit("@"))
+    elif kind == "ip" and not base:
+        may = text.rlike(r"[0-9]\x20?[\[(][.d]")
     empty = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,rule:boolean,span:string,before:string,after:string>>")
     return F.when(may & (F.size(spans) > 0), some).otherwise(empty)
 
@@ -105,7 +111,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def featured(spans: DataFrame) -> DataFrame:
-    """With ``FEATURES`` of ``kind, span, before, after``: format and context, no text and no position."""
+    """With ``FEATURES`` of ``kind, span, before, after``: format and context, no text and no position. Spelled marks count as what they stand for."""
+    for spelled, mark in _SPELLED:
+        spans = spans.withColumn("span", F.regexp_replace("span", spelled, mark))
     span, count = F.col("span"), lambda p: F.regexp_count("span", F.lit(p))
     groups = F.transform(F.regexp_extract_all(span, F.lit("[0-9]+"), F.lit(0)), F.length)
     before, after = F.right("before", F.lit(1)), F.left("after", F.lit(1))
@@ -140,11 +148,14 @@ def _spoiled(good: DataFrame) -> DataFrame:
 def examples(spans: DataFrame, per_kind: int) -> tuple[DataFrame, DataFrame]:
     """(to fit on, held out): labelled spans of the base rules, and spoiled copies of those accepted.
 
-    A quarter by hash is held out, all of it. Of the others at most ``per_kind`` accepted and as many refused ones a kind, chosen by the hash, are fitted on.
+    A quarter by hash is held out, all of it. Of the others at most ``per_kind`` accepted and as many refused ones a kind, those of the smallest hashes, are
+    fitted on. They are cut in ``_PARTS`` parts of each kind and class first, so that no task orders all spans of one.
     """
     known = spans.where("rule").withColumn("_hash", F.xxhash64("span", "before", "after")).withColumn("_fold", F.pmod("_hash", F.lit(4)) == 0)
-    order = Window.partitionBy("kind", "base").orderBy("_hash", "span", "start")
-    chosen = known.where("NOT _fold").withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= per_kind)
+    chosen = known.where("NOT _fold").withColumn("_part", F.pmod(F.xxhash64("_row", "start"), F.lit(_PARTS)))
+    for parts in (["_part"], []):
+        order = Window.partitionBy("kind", "base", *parts).orderBy("_hash", "span", "start")
+        chosen = chosen.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= per_kind)
 
     def labelled(rows: DataFrame) -> DataFrame:
         rows = rows.select("kind", "start", "span", "before", "after", "base")
