@@ -196,6 +196,49 @@ def test_prefixes_shorten_until_the_recall():
     assert forest.prefix_length(1, 5, 0.5, 0.999) == 1
 
 
+def test_least_similarity_by_trying_all_sizes():
+    for t in (0.5, 0.7, 0.8, 0.95, 1.0):
+        for n in range(1, 41):
+            able = [c / (n + m - c) for m in range(1, 100) for c in range(1, min(n, m) + 1) if c >= t * (n + m - c) - 1e-9]
+            assert math.isclose(forest.least_similarity(n, t), min(able))
+
+
+def test_small_sets_stop_at_longer_prefixes():
+    levels = forest.stops(24, 8, 0.8, 0.999)
+    assert levels[:9] == [8, 8, 8, 6, 6, 7, 8, 6, 6] and levels[-1] == 6
+    for n, level in enumerate(levels[:-1], 1):
+        s = forest.least_similarity(n, 0.8)
+        assert 1 - (1 - s ** level) ** 24 >= 0.999 and (level == 8 or 1 - (1 - s ** (level + 1)) ** 24 < 0.999)
+
+
+def test_a_node_is_asked_for_by_the_text_that_stops_there(spark):
+    def path(tree, *hashes):
+        return np.array([tree, *hashes], dtype=">u2").tobytes()
+
+    nodes = spark.createDataFrame([
+        (b"a", [path(0, 1, 2, 3), path(1, 9, 9, 9)], 3), (b"b", [path(0, 1, 2, 3), path(1, 8, 9, 9)], 3),  # meet at their stop
+        (b"c", [path(0, 1, 2, 4), path(1, 7, 9, 9)], 2),  # stops earlier: meets both at level 2
+        (b"d", [path(0, 5, 5, 5)], 3), (b"e", [path(0, 5, 5, 6)], 3),  # meet at level 2, where none of them stops
+        (b"f", [path(1, 1, 2, 3)], 2)], "node binary, paths array<binary>, stop int")
+    got = {(bytes(r.a), bytes(r.b)) for r in forest._candidates(nodes, [3, 2]).collect()}
+    assert got == {(b"b", b"a"), (b"c", b"a")}
+
+
+@pytest.mark.parametrize("similarity, least", [(0.8, 0.995), (0.85, 0.999), (0.9, 0.9999)])
+def test_measured_recall_of_the_default_forest(similarity, least):
+    draw, n, pairs = np.random.default_rng(5), 360, 3000
+    common = round(2 * n * similarity / (1 + similarity))  # members of both among n and n
+    assert abs(common / (2 * n - common) - similarity) < 1e-9 or similarity != 0.8
+    pool = draw.integers(0, 1 << 63, size=(pairs, 2 * n), dtype=np.uint64)
+    hashes = shingles.MinHash(24, 8)
+    left, right = (hashes.paths(hashes.signatures(list(part))).reshape(pairs, 24, -1) for part in (pool[:, :n], pool[:, n - common:2 * n - common]))
+    level = forest.stops(24, 8, 0.8, 0.999)[-1]
+    head = shingles.PATH_HEAD + shingles.PATH_STEP * level
+    met = (left[:, :, :head] == right[:, :, :head]).all(axis=2).any(axis=1)
+    assert met.mean() >= least
+    print(similarity, met.mean())
+
+
 def test_word_hashes_tell_words_apart():
     texts = ["a b ab", "", "  a\tb\nab ", "é éé", LONG[:1000]]
     words, counts = shingles.word_hashes(texts)

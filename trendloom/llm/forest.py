@@ -1,11 +1,15 @@
-"""N-gram Jaccard join by MinHash banding, with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
-Each text has one path of smallest hashes in each of several trees. Two texts are compared if they share a whole path, called a trie node here; its
-length is fixed, the longest that meets the recall wanted at the threshold. No trie is sorted, and no prefix is shortened for a single text. Texts of equal words are one node of the graph from the start. Texts that
+Each text has one path of smallest hashes in each of several trees, at full depth, as bytes that sort like the tree: a prefix of the path is a node of
+the trie. Prefixes that meet others are shortened level by level. A text stops at the first level at which whatever is alike enough to it shares a prefix
+in some tree with the recall wanted; that level follows from the smallest similarity at or above the threshold that a set of its size can have at all.
+Two texts are compared if they share a prefix as long as the shorter of their two stops asks. Texts of equal words are one node of the graph from the start. Texts that
 share trie nodes, directly or through others, make a candidate group; groups are cut into blocks, and each pair of blocks
 is one unit of work that counts common shingles for all its pairs and gives back sums by text and a spanning forest, never pairs.
 """
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,10 +19,11 @@ from pyspark.sql import DataFrame, functions as F
 from trendloom.llm.common import NO_ID, id_key, text_of
 from trendloom.llm.components import components
 from trendloom.llm.pieces import short_batches, slices
-from trendloom.llm.shingles import MinHash, sequence_keys, shingle_lists, shingle_sets
+from trendloom.llm.shingles import PATH_HEAD, PATH_STEP, MinHash, sequence_keys, shingle_lists, shingle_sets
 from trendloom.session import written
 
 _CHARS = 400_000  # of the texts that a worker takes apart at a time
+_SMALL = 64  # sets up to this size are looked at one by one for the similarities they can have
 
 
 def prefix_length(trees: int, depth: int, similarity: float, recall: float) -> int:
@@ -29,26 +34,66 @@ def prefix_length(trees: int, depth: int, similarity: float, recall: float) -> i
     return 1
 
 
-def _signed(docs: DataFrame, trees: int, length: int, words: int) -> DataFrame:
-    """``_id, _hash, node, paths``: the key of a text's words, and its trie nodes, none for a text without words."""
+def least_similarity(size: int, similarity: float) -> float:
+    """The smallest Jaccard similarity of at least ``similarity`` that a set of so many members can have with another."""
+    least = 1.0
+    for common in range(size, 0, -1):
+        union = math.floor(common / similarity + 1e-9)
+        if union < size:
+            break
+        least = min(least, common / union)
+    return least
+
+
+def stops(trees: int, depth: int, similarity: float, recall: float) -> list[int]:
+    """The level at which a set of 1, 2, ... ``_SMALL`` members stops, and at last that of bigger ones."""
+    small = [prefix_length(trees, depth, least_similarity(n, similarity), recall) for n in range(1, _SMALL + 1)]
+    return [*small, prefix_length(trees, depth, similarity, recall)]
+
+
+def _signed(docs: DataFrame, trees: int, depth: int, levels: list[int], words: int) -> DataFrame:
+    """``_id, _hash, node, paths, stop``: the key of a text's words, its path in each tree, none for a text without words, and the level it stops at."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = MinHash(trees, length)
+        hashes = MinHash(trees, depth)
         for batch in short_batches(batches):
             texts = batch.column(2).to_pylist()
             for a, b in slices(texts, _CHARS):
                 sets = shingle_lists(texts[a:b], words)
-                some = [i for i, s in enumerate(sets) if len(s)]
-                paths: list = [[]] * (b - a)
-                if some:
-                    labels = hashes.prefixes(hashes.signatures([sets[i] for i in some]), length)
-                    labels = (labels + np.arange(trees, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                    for i, row in zip(some, labels):
-                        paths[i] = row
+                some = [s for s in sets if len(s)]
+                # A longer list may have few distinct members; it then stops later than it needs to.
+                stop = [levels[len(np.unique(s)) - 1 if len(s) <= _SMALL else -1] if len(s) else depth for s in sets]
+                paths = hashes.paths(hashes.signatures(some)) if some else np.zeros((0, 1), dtype=np.uint8)
+                labels = pa.Array.from_buffers(pa.binary(paths.shape[1]), len(paths), [None, pa.py_buffer(paths)]).cast(pa.binary())
+                ends = np.cumsum([0] + [trees if len(s) else 0 for s in sets])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sequence_keys(texts[a:b]), type=pa.binary()),
-                                                  pa.array(paths, type=pa.list_(pa.int64()))], ["_id", "_hash", "node", "paths"])
+                                                  pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), labels), pa.array(stop, type=pa.int32())],
+                                                 ["_id", "_hash", "node", "paths", "stop"])
         pa.default_memory_pool().release_unused()  # the worker stays alive for a while
 
-    return docs.select("_id", "_hash", "_text").mapInArrow(run, "_id long, _hash long, node binary, paths array<long>")
+    return docs.select("_id", "_hash", "_text").mapInArrow(run, "_id long, _hash long, node binary, paths array<binary>, stop int")
+
+
+def _candidates(nodes: DataFrame, levels: list[int]) -> DataFrame:
+    """``a, b``: each member of a trie node that is asked for, with the node's smallest member, which stands for all.
+
+    First the places whose shortest prefix meets no other are left out. Of the rest, each level asks for the nodes in which a text stops; longer
+    prefixes of that text lie inside them.
+    """
+    def prefix(level):
+        return F.substring("path", 1, PATH_HEAD + PATH_STEP * level)
+
+    places = nodes.select("node", "stop", F.explode("paths").alias("path"))
+    root = prefix(min(levels))
+    met = places.groupBy(root.alias("root")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("root")
+    matched = written(places.withColumn("root", root).join(met, "root", "left_semi").drop("root"), "matched")
+    edges = None
+    for level in sorted(set(levels), reverse=True):
+        at = matched.select("node", "stop", prefix(level).alias("prefix"))
+        hubs = at.groupBy("prefix").agg(F.min("node").alias("hub"), F.max(F.col("stop") == level).alias("_asked"), F.count(F.lit(1)).alias("_n"))
+        found = at.join(hubs.where((F.col("_n") > 1) & F.col("_asked")).select("prefix", "hub"), "prefix").where(F.col("node") != F.col("hub"))
+        found = found.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        edges = found if edges is None else edges.union(found)
+    return written(edges.distinct(), "candidates")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -137,26 +182,22 @@ def _verified(members: DataFrame, sets: DataFrame, similarity: float, block: int
 
 def _classed(docs: DataFrame, similarity: float, words: int, trees: int, depth: int, recall: float, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """``_id, node`` of each row, and ``node, n_copies, label, n_links, first_id, first_hash`` of each text; ``label`` names its class."""
-    length = prefix_length(trees, depth, similarity, recall)
+    levels = stops(trees, depth, similarity, recall)
     rows = docs.select(id_key(id_col).cast("long").alias("_id"), F.xxhash64(text_of(text_col)).alias("_hash"), text_of(text_col).alias("_text"))
-    signed = written(_signed(rows, trees, length, words), "forest")
-    nodes = written(signed.groupBy("node").agg(F.min(F.struct("_id", "_hash")).alias("_first"), F.count(F.lit(1)).alias("n_copies"), F.first("paths").alias("paths")), "forest-nodes")
-    nodes = nodes.select("node", F.col("_first._id").alias("first_id"), F.col("_first._hash").alias("first_hash"), "n_copies", "paths")
-    # In each trie node the smallest member stands for all: as many candidate edges as members.
-    places = nodes.select("node", F.explode("paths").alias("path"))
-    hubs = places.groupBy("path").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
-    edges = written(places.join(hubs, "path").where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "candidates")
-    groups = components(edges)
+    signed = written(_signed(rows, trees, depth, levels, words), "forest")
+    nodes = written(signed.groupBy("node").agg(F.min(F.struct("_id", "_hash")).alias("_first"), F.count(F.lit(1)).alias("n_copies"), F.first("paths").alias("paths"), F.first("stop").alias("stop")), "forest-nodes")
+    nodes = nodes.select("node", F.col("_first._id").alias("first_id"), F.col("_first._hash").alias("first_hash"), "n_copies", "paths", "stop")
+    groups = components(_candidates(nodes, levels))
     sets = written(_sets(rows, nodes.join(groups, "node", "left_semi").select("node", "first_id"), words), "sets")
     found = written(_verified(groups, sets, similarity, block), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = nodes.drop("paths").join(classes, "node", "left").join(links, "node", "left")
+    named = nodes.drop("paths", "stop").join(classes, "node", "left").join(links, "node", "left")
     named = named.select("node", "n_copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "first_id", "first_hash")
     return signed.select("_id", "node"), named
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, trees: int = 24, depth: int = 7, recall: float = 0.999,
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, trees: int = 24, depth: int = 8, recall: float = 0.999,
                     block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, class_id, n_links, n_copies``.
 
@@ -174,7 +215,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, tr
     return signed.join(named, "node").select(whole("_id").alias("doc_id"), whole("class_id").alias("class_id"), "n_links", "n_copies")
 
 
-def one_of_each_class(docs: DataFrame, similarity: float = 0.8, words: int = 5, trees: int = 24, depth: int = 7, recall: float = 0.999,
+def one_of_each_class(docs: DataFrame, similarity: float = 0.8, words: int = 5, trees: int = 24, depth: int = 8, recall: float = 0.999,
                       block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class of ``near_duplicates``, whatever its id: that of the smallest id, then of the smallest key of the words.
 

@@ -21,6 +21,7 @@ def _inverse(odd: int) -> int:
     return pow(odd, -1, 1 << 64)
 
 
+PATH_HEAD, PATH_STEP = 2, 2  # bytes of a path's tree, and of each of its hashes
 _KEPT = 1 << 19
 _POWERS: list[np.ndarray] = []
 
@@ -116,11 +117,13 @@ class MinHash:
             out[:, k] = np.minimum.reduceat(flat * a, starts) >> np.uint64(32)
         return out
 
-    def prefixes(self, signatures: np.ndarray, length: int) -> np.ndarray:
-        """64-bit labels of each tree's first ``length`` hashes: one trie node a tree."""
+    def paths(self, signatures: np.ndarray) -> np.ndarray:
+        """Row by row, tree after tree, the tree's number and 16 bits of each of its hashes, as bytes in the order in which they sort.
+
+        Equal hashes have equal bits. Unequal ones seldom do, which makes a candidate too many and loses none.
+        """
         n = len(signatures)
-        paths = signatures.reshape(n, self.trees, self.depth)
-        label = np.zeros((n, self.trees), dtype=np.uint64)
-        for k in range(length):
-            label = _mix(label * _ODD + paths[:, :, k].astype(np.uint64) + np.uint64(1))
-        return label
+        out = np.empty((n, self.trees, 1 + self.depth), dtype=">u2")
+        out[:, :, 0] = np.arange(self.trees)
+        out[:, :, 1:] = (_mix(signatures.astype(np.uint64) + np.uint64(1)) >> np.uint64(48)).reshape(n, self.trees, self.depth)
+        return out.view(np.uint8).reshape(n * self.trees, PATH_HEAD + PATH_STEP * self.depth)
