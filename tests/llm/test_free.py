@@ -379,3 +379,10 @@ def test_js_distance():
     a, b = np.array([1.0, 0, 3]), np.array([0, 5.0, 0])
     assert divergence.js_distance(a, b) == pytest.approx(1) and divergence.js_distance(a, 2 * a) == pytest.approx(0)
     assert divergence.js_distance(a, np.zeros(3)) == 0
+
+
+def test_null_ids_are_dealt_over_the_shards(make_docs):
+    rows = [(None if i % 3 == 0 else i, f"text number {i}", "en", "s", 1) for i in range(900)]
+    docs = make_docs(rows).withColumn("text_hash", F.xxhash64("text"))
+    shards = collections.Counter(r[0] for r in docs.select(perplexity._shard("doc_id", 8, "text_hash")).collect())
+    assert len(shards) == 8 and max(shards.values()) < 2 * 900 / 8

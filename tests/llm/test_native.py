@@ -116,6 +116,18 @@ def test_mixed_rows_follow_the_plan(odd):
     assert {r.size for r in plan if r.doc_id in (2, 3, 6)} == {0}
 
 
+def test_a_third_of_all_ids_null(make_docs):
+    rows = [(None if i % 3 == 0 else i, f"text number {i} of so many words", "en", "ab"[i % 2], i) for i in range(300)]
+    rows += [(700, "five words in this text", "en", "a", n) for n in (1, 2)] + [(700, "other five words of 700", "en", "a", 3)]
+    kept = [sorted(map(str, mixing.mixed(make_docs(r)).collect())) for r in (rows, rows[::-1])]
+    assert kept[0] == kept[1]
+    plan = mixing._planned(make_docs(rows)).collect()
+    assert sum(r.copies for r in plan) == len(kept[0])
+    # Rows without an id have places of their own in their source's order, not one that all share.
+    taken = {r.copies for r in plan if r.doc_id is None and r.source == "b"}
+    assert len(taken) == 2 or taken == {2}
+
+
 # --- personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",

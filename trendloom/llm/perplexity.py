@@ -23,8 +23,11 @@ _TABLE = 16_000_000
 _SCORED = "doc_id long, lang string, text_hash long, n_chars long, perplexity double, held_out double"
 
 
-def _shard(column: str, shards: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(shards)).cast("int")
+def _shard(column: str, shards: int, instead: str | None = None) -> Column:
+    """The shard of an id; rows without one, which are never trusted, are dealt by the column ``instead``."""
+    key = F.xxhash64(column)
+    key = F.when(F.col(column).isNull(), F.xxhash64(instead)).otherwise(key) if instead else key
+    return F.pmod(key, F.lit(shards)).cast("int")
 
 
 def _held(column: str) -> Column:
@@ -55,7 +58,7 @@ def packed(docs: DataFrame, shards: int, chars: int = 8_000_000) -> DataFrame:
         if held:
             yield from flush(held)
 
-    rows = docs.select(_shard("doc_id", shards).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text_hash", "held", "text")
+    rows = docs.select(_shard("doc_id", shards, "text_hash").alias("shard"), "doc_id", "lang", "text_hash", "held", "text")
     return rows.mapInArrow(run, "shard int, blob binary")
 
 
@@ -210,7 +213,7 @@ def _score_broadcast(rows: DataFrame, logs: DataFrame, order: int) -> DataFrame:
                                                   pa.array(values, type=pa.float64()), pa.array(apart, type=pa.float64())], ["doc_id", "lang", "text_hash", "n_chars", "perplexity", "held_out"])
         pa.default_memory_pool().release_unused()  # the worker stays alive for a while
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text_hash", "held", "text").mapInArrow(score, _SCORED)
+    return rows.select("doc_id", "lang", "text_hash", "held", "text").mapInArrow(score, _SCORED)
 
 
 def _score_by_shard(blobs: DataFrame, counts: DataFrame, logs: DataFrame, order: int) -> DataFrame:
@@ -236,7 +239,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 4, most_broad
     n-grams they go to every task, else each shard gets its own; results are the same.
     """
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(text_of(text_col)).alias("text_hash"), _held(id_col).alias("held"), text_of(text_col).alias("text"))
+    # Ids as longs before anything is hashed, as those of the trusted texts are.
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).alias("text"))
+    rows = rows.withColumn("held", _held("doc_id"))
     blobs = packed(rows, shards)
     good = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumns({"shard": _shard("doc_id", shards), "held": _held("doc_id")})
     counts = written(shard_counts(blobs, good, order), "shard-grams")

@@ -69,7 +69,8 @@ def op6_line_dedup(spark, sf_dir):
 
 
 MIXING_SQL = r"""
-WITH RECURSIVE sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+WITH RECURSIVE sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  md5(coalesce(text, '')) AS text_md5 FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::BIGINT AS cap,
         [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sized GROUP BY source),
 total AS (SELECT 1.5::DOUBLE * sum(source_size)::DOUBLE AS total FROM s),
@@ -83,7 +84,7 @@ level(step, clamped, level) AS (
     FROM level, s, total GROUP BY ALL) WHERE n > clamped),
 t AS (SELECT s.*, least(weight * l, cap::DOUBLE) AS target FROM s, (SELECT max_by(level, step) AS l FROM level)),
 w AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
-o AS (SELECT *, md5(concat_ws(':', 'mix-1', doc_id::VARCHAR)) AS ord FROM sized),
+o AS (SELECT *, md5(concat_ws(':', 'mix-1', coalesce(doc_id::VARCHAR, text_md5))) AS ord FROM sized),
 c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord, doc_id, size
                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM o)
 SELECT c.doc_id, c.source, size, source_size, target,
