@@ -216,11 +216,11 @@ def test_a_node_is_asked_for_by_the_text_that_stops_there(spark):
         return np.array([tree, *hashes], dtype=">u2").tobytes()
 
     nodes = spark.createDataFrame([
-        (b"a", [path(0, 1, 2, 3), path(1, 9, 9, 9)], 3), (b"b", [path(0, 1, 2, 3), path(1, 8, 9, 9)], 3),  # meet at their stop
-        (b"c", [path(0, 1, 2, 4), path(1, 7, 9, 9)], 2),  # stops earlier: meets both at level 2
-        (b"d", [path(0, 5, 5, 5)], 3), (b"e", [path(0, 5, 5, 6)], 3),  # meet at level 2, where none of them stops
-        (b"f", [path(1, 1, 2, 3)], 2)], "node binary, paths array<binary>, stop int")
-    got = {(bytes(r.a), bytes(r.b)) for r in forest._candidates(nodes, [3, 2]).collect()}
+        (b"a", path(0, 1, 2, 3) + path(1, 9, 9, 9), 3), (b"b", path(0, 1, 2, 3) + path(1, 8, 9, 9), 3),  # meet at their stop
+        (b"c", path(0, 1, 2, 4) + path(1, 7, 9, 9), 2),  # stops earlier: meets both at level 2
+        (b"d", path(0, 5, 5, 5) + path(1, 6, 9, 9), 3), (b"e", path(0, 5, 5, 6) + path(1, 5, 9, 9), 3),  # meet at level 2, where none of them stops
+        (b"f", path(0, 9, 2, 3) + path(1, 1, 2, 3), 2), (b"g", b"", 3)], "node binary, paths binary, stop int")
+    got = {(bytes(r.a), bytes(r.b)) for r in forest._candidates(nodes, [3, 2], trees=2, depth=3).collect()}
     assert got == {(b"b", b"a"), (b"c", b"a")}
 
 

@@ -22,7 +22,7 @@ from trendloom.llm.pieces import short_batches, slices
 from trendloom.llm.shingles import PATH_HEAD, PATH_STEP, MinHash, sequence_keys, shingle_lists, shingle_sets
 from trendloom.session import written
 
-_CHARS = 400_000  # of the texts that a worker takes apart at a time
+_CHARS = 100_000  # of the texts that a worker takes apart at a time
 _SMALL = 64  # sets up to this size are looked at one by one for the similarities they can have
 
 
@@ -52,7 +52,7 @@ def stops(trees: int, depth: int, similarity: float, recall: float) -> list[int]
 
 
 def _signed(docs: DataFrame, trees: int, depth: int, levels: list[int], words: int) -> DataFrame:
-    """``_id, _hash, node, paths, stop``: the key of a text's words, its path in each tree, none for a text without words, and the level it stops at."""
+    """``_id, _hash, node, paths, stop``: the key of a text's words, its paths in all trees in a row, none for a text without words, and the level it stops at."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = MinHash(trees, depth)
         for batch in short_batches(batches):
@@ -62,18 +62,17 @@ def _signed(docs: DataFrame, trees: int, depth: int, levels: list[int], words: i
                 some = [s for s in sets if len(s)]
                 # A longer list may have few distinct members; it then stops later than it needs to.
                 stop = [levels[len(np.unique(s)) - 1 if len(s) <= _SMALL else -1] if len(s) else depth for s in sets]
-                paths = hashes.paths(hashes.signatures(some)) if some else np.zeros((0, 1), dtype=np.uint8)
-                labels = pa.Array.from_buffers(pa.binary(paths.shape[1]), len(paths), [None, pa.py_buffer(paths)]).cast(pa.binary())
-                ends = np.cumsum([0] + [trees if len(s) else 0 for s in sets])
+                paths = hashes.paths(hashes.signatures(some)) if some else np.zeros((0, 1), dtype=np.uint8)  # all trees of a text lie together
+                whole = iter(paths.reshape(len(some), -1) if some else ())
+                labels = pa.array([next(whole).tobytes() if len(s) else b"" for s in sets], type=pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sequence_keys(texts[a:b]), type=pa.binary()),
-                                                  pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), labels), pa.array(stop, type=pa.int32())],
-                                                 ["_id", "_hash", "node", "paths", "stop"])
+                                                  labels, pa.array(stop, type=pa.int32())], ["_id", "_hash", "node", "paths", "stop"])
         pa.default_memory_pool().release_unused()  # the worker stays alive for a while
 
-    return docs.select("_id", "_hash", "_text").mapInArrow(run, "_id long, _hash long, node binary, paths array<binary>, stop int")
+    return docs.select("_id", "_hash", "_text").mapInArrow(run, "_id long, _hash long, node binary, paths binary, stop int")
 
 
-def _candidates(nodes: DataFrame, levels: list[int]) -> DataFrame:
+def _candidates(nodes: DataFrame, levels: list[int], trees: int, depth: int) -> DataFrame:
     """``a, b``: each member of a trie node that is asked for, with the node's smallest member, which stands for all.
 
     First the places whose shortest prefix meets no other are left out. Of the rest, each level asks for the nodes in which a text stops; longer
@@ -82,7 +81,9 @@ def _candidates(nodes: DataFrame, levels: list[int]) -> DataFrame:
     def prefix(level):
         return F.substring("path", 1, PATH_HEAD + PATH_STEP * level)
 
-    places = nodes.select("node", "stop", F.explode("paths").alias("path"))
+    size = PATH_HEAD + PATH_STEP * depth
+    places = nodes.where(F.octet_length("paths") > 0).select("node", "stop", "paths", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    places = places.select("node", "stop", F.substring("paths", F.col("tree") * size + 1, F.lit(size)).alias("path"))
     root = prefix(min(levels))
     met = places.groupBy(root.alias("root")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("root")
     matched = written(places.withColumn("root", root).join(met, "root", "left_semi").drop("root"), "matched")
@@ -187,7 +188,7 @@ def _classed(docs: DataFrame, similarity: float, words: int, trees: int, depth:
     signed = written(_signed(rows, trees, depth, levels, words), "forest")
     nodes = written(signed.groupBy("node").agg(F.min(F.struct("_id", "_hash")).alias("_first"), F.count(F.lit(1)).alias("n_copies"), F.first("paths").alias("paths"), F.first("stop").alias("stop")), "forest-nodes")
     nodes = nodes.select("node", F.col("_first._id").alias("first_id"), F.col("_first._hash").alias("first_hash"), "n_copies", "paths", "stop")
-    groups = components(_candidates(nodes, levels))
+    groups = components(_candidates(nodes, levels, trees, depth))
     sets = written(_sets(rows, nodes.join(groups, "node", "left_semi").select("node", "first_id"), words), "sets")
     found = written(_verified(groups, sets, similarity, block), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
