@@ -1,7 +1,7 @@
 """Benchmark decontamination by word n-grams.
 
 The distinct n-grams of the test items form a hash set that is broadcast, in blocks of bounded size if there are very many. Documents are
-read once a block: every window of words is looked up in it, and as the set holds the words themselves, not their hashes, what is found is verified. Only
+read once a block: where two words in a row begin some n-gram, the whole window is looked up in it, and as the set holds the words themselves, not their hashes, what is found is verified. Only
 hits leave the scan; they are merged to word ranges by document, which can then lose these words, or go.
 """
 
@@ -16,6 +16,7 @@ _ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _PIECE = _ANY_CASE + r"|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ROW_BYTES = 64
+_OPENING = 2  # words of an n-gram that are looked up first
 
 
 def words(text: Column) -> Column:
@@ -31,6 +32,17 @@ def _windows(of: Column, length: int) -> Column:
     return F.when(size >= length, F.transform(F.sequence(F.lit(1), size - length + 1), window)).otherwise(F.array().cast("array<struct<start:int,gram:string>>"))
 
 
+def _openings(of: Column, length: int) -> Column:
+    """All places of so many words, as (number of the first word, how many, words): what an n-gram may begin with."""
+    def opening(i: Column) -> Column:
+        words_ = F.concat_ws(" ", *[F.get(of, i + k) for k in range(-1, length - 1)])
+        return F.struct(i.alias("start"), F.lit(length).alias("width"), words_.alias("opening"))
+
+    size = F.size(of)
+    none = F.array().cast("array<struct<start:int,width:int,opening:string>>")
+    return F.when(size >= length, F.transform(F.sequence(F.lit(1), size - length + 1), opening)).otherwise(none)
+
+
 def test_ngrams(items: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Written (gram, len, gid), each distinct n-gram once, and (gid, item_id). An item of fewer words than ``window`` is one n-gram of all of them."""
     read = items.select(F.col(id_col).cast("string").alias("item_id"), words(text_of(text_col)).alias("_words"))
@@ -72,15 +84,21 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_byt
     blocks = max(1, -(-size // block_bytes))
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most ``window``
     read = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text_of(text_col))).alias("text_key"), words(text_of(text_col)).alias("_words"))
-    mark = F.array(F.struct(F.lit(0).alias("start"), F.lit(None).cast("string").alias("gram")))
-    places = [_windows(F.col("_words"), n) for n in lengths]
+    mark = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("width"), F.lit(None).cast("string").alias("opening")))
+    places = [_openings(F.col("_words"), n) for n in sorted({min(n, _OPENING) for n in lengths})]
     hits = None
     for k in range(blocks):
-        part = F.broadcast(grams.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == k))
+        part = grams.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == k)
+        opening = F.substring_index("gram", " ", _OPENING)
+        starts = part.select(opening.alias("opening"), F.least("len", F.lit(_OPENING)).alias("width"), F.col("len").alias("size")).distinct()
         # The first scan also gives a mark for each document, which stands for it where nothing is found.
         found = F.concat(mark, *places) if k == 0 else F.concat(*places)
-        rows = read.select("doc_id", "text_key", F.size("_words").cast("long").alias("n_words"), F.inline(found))
-        rows = rows.join(part, "gram", "left").where((F.col("start") == 0) | F.col("gid").isNotNull()).drop("gram")
+        rows = read.select("doc_id", "text_key", "_words", F.inline(found))
+        rows = rows.join(F.broadcast(starts), ["opening", "width"], "left").where((F.col("start") == 0) | (F.col("start") + F.col("size") - 1 <= F.size("_words")))
+        # Only where the first words are those of some n-gram are all its words put together.
+        gram = F.when(F.col("size").isNotNull(), F.array_join(F.slice("_words", F.col("start"), F.col("size")), " "))
+        rows = rows.select("doc_id", "text_key", F.size("_words").cast("long").alias("n_words"), "start", gram.alias("gram"))
+        rows = rows.join(F.broadcast(part), "gram", "left").where((F.col("start") == 0) | F.col("gid").isNotNull()).drop("gram")
         hits = rows if hits is None else hits.unionByName(rows)
     hit = F.when(F.col("gid").isNotNull(), F.struct("start", "len"))
     by_doc = hits.groupBy("doc_id", "text_key").agg(
