@@ -19,6 +19,7 @@ from tests.llm.conftest import LONG, ODD_ROWS
 from trendloom.llm import bpe, divergence, forest, idfiles, perplexity, shingles
 from trendloom.llm.common import documents, table
 from trendloom.llm.components import components
+from trendloom.llm.pieces import PieceCoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -191,6 +192,7 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+
 def test_prefixes_shorten_until_the_recall():
     assert forest.prefix_length(24, 7, 0.8, 0.999) == 6 and forest.prefix_length(24, 7, 0.8, 0.9) == 7
     assert forest.prefix_length(1, 5, 0.5, 0.999) == 1
@@ -386,3 +388,21 @@ def test_null_ids_are_dealt_over_the_shards(make_docs):
     docs = make_docs(rows).withColumn("text_hash", F.xxhash64("text"))
     shards = collections.Counter(r[0] for r in docs.select(perplexity._shard("doc_id", 8, "text_hash")).collect())
     assert len(shards) == 8 and max(shards.values()) < 2 * 900 / 8
+
+
+def test_a_word_before_marks_is_coded_once():
+    seen = []
+
+    def encode(pieces):
+        seen.extend(pieces)
+        return [p.encode() for p in pieces]
+
+    text = "\nword, word. word!! word other; x"
+    assert PieceCoder(encode, {}).encode(["a word, word. word!! word other; x"]) == [b"a word, word. word!! word other; x"]
+    assert seen.count(" word") == 1 and " word," not in seen and " other" in seen
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [text, "don't, we're. I'll! it's", "été, Ǆ. ×, ÷. 5, a5. ª. ²!", "a ,b . , c", "...", ", x.", "l’été.«ok».", "a,, b,\n\nc. \td.", "中文, 中文.", "<|endoftext|>, a.<|endoftext|>"] * 2
+    library = Tokenizer.from_file(path)
+    coder = idfiles._coder(path)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert PieceCoder(encode, {}, room=2).encode(["b c, d. e", "c, c d."]) == [b"b c, d. e", b"c, c d."]

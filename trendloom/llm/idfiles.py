@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from trendloom.llm.common import id_key, text_of
-from trendloom.llm.pieces import PieceCoder, slices
+from trendloom.llm.pieces import PieceCoder, short_batches, slices
 from trendloom.session import scratch_dir, written
 
 BLOCK_IDS = 1 << 16
@@ -81,7 +81,7 @@ def _coder(path: str) -> PieceCoder:
         return out
 
     specials = {t.content: np.array([i], dtype="<u4").tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return PieceCoder(encode, specials)
+    return PieceCoder(encode, specials, room=1_000_000)
 
 
 def _kind(vocabulary: int) -> str:
@@ -97,9 +97,9 @@ def encoded(docs: DataFrame, path: str, vocabulary: int, end_id: int = 0, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, press = _coder(path), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in short_batches(batches):
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 500_000):  # few enough pieces at a time for the processor's caches
                 blobs = [press.compress(np.append(np.frombuffer(x, dtype="<u4"), end_id).astype(kind).tobytes()) for x in coder.encode(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(blobs, type=pa.binary())], ["doc_id", "ids"])
 
