@@ -20,6 +20,7 @@ from trendloom.llm import bpe, divergence, forest, idfiles, perplexity, shingles
 from trendloom.llm.common import documents, table
 from trendloom.llm.components import components
 from trendloom.llm.pieces import PieceCoder
+from trendloom.session import written
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -192,6 +193,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_contract_long_paths(spark, monkeypatch):
+    import trendloom.llm.components as module
+    sizes = {}
+
+    def counted(df, label, **more):
+        out = written(df, label, **more)
+        sizes.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "written", counted)
+    path = [(i, i + 1) for i in range(400)] + [(1000 + (i * 37) % 101, 1000 + (i * 37 + 37) % 101) for i in range(101)] + [(5000, 5000)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(401)}, **{1000 + i: 1000 for i in range(101)}, 5000: 5000}
+    assert len(sizes["contracted"]) <= 20 and sum(sizes["contracted"]) <= 2 * len(path)  # edges fall away round by round
+
+
 
 def test_prefixes_shorten_until_the_recall():
     assert forest.prefix_length(24, 7, 0.8, 0.999) == 6 and forest.prefix_length(24, 7, 0.8, 0.9) == 7
