@@ -423,3 +423,9 @@ def test_a_word_before_marks_is_coded_once():
     coder = idfiles._coder(path)
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert PieceCoder(encode, {}, room=2).encode(["b c, d. e", "c, c d."]) == [b"b c, d. e", b"c, c d."]
+
+
+def test_the_pipeline_codes_and_decodes_in_stages_of_their_own(odd):
+    import corpus_pipeline
+    plan = corpus_pipeline.bpe_coding(odd.sparkSession, odd, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
