@@ -5,6 +5,7 @@ import pytest
 
 from tests.models import sentence_scores
 from trendloom.operators import summary as S
+from trendloom.session import written
 
 T0 = datetime(2024, 1, 1)
 WORDS = "flight delay bag lost crew seat gate meal late refund".split()
@@ -31,6 +32,27 @@ def test_scores_equal_pagerank_over_pairs(spark, monkeypatch, salt_size):
         assert found[c] == pytest.approx(sentence_scores(texts), abs=2e-6)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 12, 3])
+def test_scores_are_the_same_in_blocks_of_any_size(spark, monkeypatch, block):
+    """One task for all clusters, the smaller one whole and the larger one in blocks, and both in blocks."""
+    monkeypatch.setattr(S, "BLOCK_ENTRIES", block)
+    rng = random.Random(11)
+    groups = {c: [" ".join(rng.choices(WORDS, k=rng.randint(1, 5))) for _ in range(n)] for c, n in ((1, 15), (2, 4))}
+    groups[2].append("the of and")
+    scores = S.rank_sentences(S.sentence_rows(posts(spark, groups))).collect()
+    for c, texts in groups.items():
+        found = [r.score for r in sorted((r for r in scores if r.cluster_id == c), key=lambda r: r.post_id)]
+        assert found == pytest.approx(sentence_scores(texts), abs=2e-6)
+
+
+def test_small_clusters_need_no_table_a_round(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(S, "written", lambda df, label, *a, **k: labels.append(label) or written(df, label, *a, **k))
+    rng = random.Random(3)
+    S.rank_sentences(S.sentence_rows(posts(spark, {1: [" ".join(rng.choices(WORDS, k=4)) for _ in range(12)]}))).collect()
+    assert len(labels) < 8
+
+
 def test_only_big_clusters_and_about_the_wanted_length(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choices(WORDS, k=6)) + ". " + " ".join(rng.choices(WORDS, k=5)) for _ in range(21)]
