@@ -1,0 +1,81 @@
+"""What similarity search takes on disk, and that bounded steps find the same."""
+
+import os
+from datetime import datetime, timedelta
+from itertools import combinations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tests.models import keep_first
+from trendloom.operators import leaders, neardup as N, products as P, vectors as V
+from trendloom.session import prepare, scratch_root
+
+T0 = datetime(2024, 1, 1)
+
+
+def posts(spark, sets):
+    rows = [(i, T0 + timedelta(seconds=i), " ".join(f"w{t}" for t in sorted(s))) for i, s in enumerate(sets)]
+    return spark.createDataFrame(rows, "post_id long, created_at timestamp, preprocessed_text string")
+
+
+def some_sets(n=60, seed=3):
+    draw = np.random.default_rng(seed)
+    return [set(draw.choice(18, size=int(draw.integers(1, 14)), replace=False).tolist()) for _ in range(n)]
+
+
+def scratch(spark):
+    folder = f"{scratch_root(spark)}/trendloom".removeprefix("file:")
+    return {n.rpartition("-")[0] for n in os.listdir(folder)} if os.path.exists(folder) else set()
+
+
+def test_only_the_kept_ids_stay_on_disk(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("trendloom.session.scratch_root", lambda _: str(tmp_path))
+    sets = some_sets()
+    assert sorted(r.post_id for r in N.drop_near_dups(posts(spark, sets)).collect()) == keep_first(sets)
+    assert {n.rpartition("-")[0] for n in os.listdir(tmp_path / "trendloom")} == {"kept-ids"}
+
+
+def test_only_the_named_pairs_and_the_order_stay_on_disk(spark, monkeypatch, tmp_path):
+    df = posts(spark, some_sets(20))
+    monkeypatch.setattr("trendloom.session.scratch_root", lambda _: str(tmp_path))
+    N.jaccard_pairs(df, df).collect()
+    assert {n.rpartition("-")[0] for n in os.listdir(tmp_path / "trendloom")} == {"named-pairs", "token-order"}
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    assert prepare(spark).conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+
+
+def test_units_in_many_waves_give_the_same_pairs(spark, monkeypatch):
+    """Sets of all sizes in blocks of few rows, one unit of work a wave or so."""
+    for name, value in (("_LEAST_ENTRIES", 1), ("_ROW_COST", 1), ("_WAVE_ENTRIES", 120)):
+        monkeypatch.setattr(P, name, value)
+    sets = {i: s for i, s in enumerate(some_sets(30), 1)}
+    nodes = spark.createDataFrame([(0, i, [f"w{t}" for t in s]) for i, s in sets.items()], "scope int, seq long, tokens array<string>")
+    jobs, waves = [], P._waves
+    monkeypatch.setattr(P, "_waves", lambda *a: (jobs.append(1) or df for df in waves(*a)))
+    entries = N._index(nodes, 55)
+    got = [(r.l, r.r, r.common) for r in N._matcher(nodes, 55)(entries, entries, True).collect()]
+    want = {(j, i): len(sets[i] & sets[j]) for i, j in combinations(sets, 2) if 100 * len(sets[i] & sets[j]) >= 55 * len(sets[i] | sets[j])}
+    assert len(jobs) > 3 and {(a, b): c for a, b, c in got} == want and len(got) == len(want)
+
+
+def test_no_pair_is_compared_twice(spark):
+    """Rows that a kept row drops meet the kept rows of their own slice only, not all of them again."""
+    sets = some_sets(40)
+    rows = [(0, i, f"w{t}", len(s) ** -0.5) for i, s in enumerate(sets) for t in s]
+    units = spark.createDataFrame(rows, "scope int, id long, term string, w double")
+    entries = V.packed(V.split_terms(units, V.term_frequency(units))).withColumn("seq", F.col("id")).persist()
+
+    def match(left, right, earlier):
+        own = left.drop("seq")
+        return V.similar_packed(own, own if left is right else right.drop("seq"), 0.4, earlier)
+
+    nodes = units.select("scope", F.col("id").alias("seq")).distinct()
+    kept, pairs = leaders.select_leaders(nodes, entries, match, lambda e: e.agg((F.count("seq") * (F.count("seq") - 1) / 2).alias("n")), budget=60, pairs=True)
+    kept, pairs = {r.seq for r in kept.collect()}, [(r.l, r.r) for r in pairs.collect()]
+    alike = lambda i, j: round(1 - len(sets[i] & sets[j]) / (len(sets[i]) * len(sets[j])) ** 0.5, 9) < 0.4
+    assert kept == {i for i in range(40) if not any(alike(i, j) for j in kept if j < i)}
+    to_kept = [(i, j) for i, j in pairs if i not in kept and j in kept]
+    assert sorted(to_kept) == [(i, j) for i in range(40) for j in range(i) if i not in kept and j in kept and alike(i, j)]
